@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, language_id, mixing, quality, simhash, token_output, url_filter
+from . import decontaminate, exact_dedup, language_id, mixing, quality, simhash, suffix_dedup, token_output, url_filter
 
 
 def queries() -> dict:
     return {
+        "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
         "op2_simhash": simhash.op2_simhash,
         "op4_decontaminate": decontaminate.op4_decontaminate,
         "op5_language_id": language_id.op5_language_id,
