@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, language_id, mixing, quality, simhash, suffix_dedup, token_output, url_filter
+from . import decontaminate, exact_dedup, language_id, lm_scoring, mixing, quality, simhash, suffix_dedup, token_output, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
         "op2_simhash": simhash.op2_simhash,
+        "op3_lm_scoring": lm_scoring.op3_lm_scoring,
         "op4_decontaminate": decontaminate.op4_decontaminate,
         "op5_language_id": language_id.op5_language_id,
         "op6_url_filter": url_filter.op6_url_filter,
