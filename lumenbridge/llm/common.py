@@ -15,6 +15,7 @@ TO_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -34,17 +35,33 @@ def scratch_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def materialise(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
+def materialise(df: DataFrame, label: str, compression: str = "snappy", few_files: bool = False) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     This cuts lineage and survives lost executors: the table is durable, and
     the committed files are the only copy that later stages read.
+    ``few_files`` is for tables of short rows: a file for every shuffle
+    partition would be tiny, so each of twice as many tasks as there are cores
+    writes the partitions it takes, one after another, into one file.
     """
     spark = df.sparkSession
+    if few_files:
+        df = df.coalesce(2 * spark.sparkContext.defaultParallelism)
     path = f"{scratch_dir(spark)}/lumen-{label}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of an Arrow batch: bounds what a Python worker and its JVM side hold at once, besides one row.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches small where the session leaves their size at Spark's default of 64 MB."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key).rstrip("bB") in (str(64 << 20), "64m"):
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -68,13 +68,13 @@ def fingerprint(text: bytes | None, size: int = WORDS) -> int:
 def _fingerprints(batches):
     for batch in batches:
         found = [fingerprint(x) for x in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.int64())], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(found, pa.int64())], ["doc_id", "text_hash", "fp"])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp) of every row."""
-    rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("binary").alias("text"))
-    return rows.mapInArrow(_fingerprints, f"doc_id {docs.schema[id_col].dataType.simpleString()}, fp long")
+    """(doc_id, text_hash, fp) of every row."""
+    rows = docs.select(docs[id_col].alias("doc_id"), F.xxhash64(docs[text_col]).alias("text_hash"), docs[text_col].cast("binary").alias("text"))
+    return rows.mapInArrow(_fingerprints, f"doc_id {docs.schema[id_col].dataType.simpleString()}, text_hash long, fp long")
 
 
 def links(fps: DataFrame) -> DataFrame:
@@ -88,7 +88,7 @@ def links(fps: DataFrame) -> DataFrame:
     keys = [F.shiftleft(F.lit(t).cast("long"), 2 * width) + F.shiftleft(block(i), width) + block(j) for t, (i, j) in enumerate(pairs)]
     filed = fps.select("fp", F.explode(F.array(*keys)).alias("key"))
     sizes = filed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    filed = materialise(filed.join(sizes, "key"), "simhash-blocks")
+    filed = materialise(filed.join(sizes, "key"), "simhash-blocks", few_files=True)
     few, many = filed.filter(F.col("n") <= PAIRS), filed.filter(F.col("n") > PAIRS)
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE
     direct = few.select("key", F.col("fp").alias("a")).join(few.select("key", F.col("fp").alias("b")), "key").filter((F.col("a") > F.col("b")) & near)
@@ -108,32 +108,36 @@ def _signed(x: int) -> int:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of ``edges`` (a, b) but the roots themselves; a root is its component's smallest node."""
-    edges = materialise(edges, "simhash-edges")
+    edges = materialise(edges, "simhash-edges", few_files=True)
     state = None
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a > b").distinct()
-        large = materialise(large, "simhash-large")
+        large = materialise(large, "simhash-large", few_files=True)
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        edges = materialise(small.select("e.a", "e.b").filter("a > b").distinct(), "simhash-edges")
+        edges = materialise(small.select("e.a", "e.b").filter("a > b").distinct(), "simhash-edges", few_files=True)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         state = now
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id) of every row."""
+def members(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text_hash, fp, root, component_id) of every row; root is the component's smallest fingerprint."""
     rows = materialise(fingerprints(docs, id_col, text_col), "simhash-fps")
-    fps = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-distinct")
-    roots = materialise(components(links(fps.select("fp"))), "simhash-roots")
-    # only fingerprints with links, which are far fewer, take part in the next joins
-    own = fps.join(roots.select("node", "root"), fps.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    fps = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-distinct", few_files=True)
+    roots = materialise(components(links(fps.select("fp"))), "simhash-roots", few_files=True)
+    own = fps.join(roots, fps.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lowest = own.groupBy("root").agg(F.min("low").alias("component_id"))
-    known = own.join(lowest, "root").select("fp", "component_id")
-    return rows.join(known, "fp").select("doc_id", "fp", "component_id")
+    known = own.join(lowest, "root").select("fp", "root", "component_id")
+    return rows.join(known, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fp, component_id) of every row."""
+    return members(docs, id_col, text_col).select("doc_id", "fp", "component_id")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,12 +146,17 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """The rows that stay, columns unchanged: of each component the one with its smallest id."""
-    found = materialise(near_dedup(docs).select("doc_id", "component_id"), "simhash-members")
-    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    """The rows that stay, columns unchanged: of each component the one with its smallest id (of rows that share that id, the one of the smallest text hash)."""
+    found = materialise(members(docs).select("doc_id", "text_hash", "root", "component_id"), "simhash-members", few_files=True)
+    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    ties = found.filter(first).groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.min("text_hash").alias("low_hash")).filter("n > 1").select("root", "low_hash")
+    tied = ties.limit(1).count() > 0
+    if tied:
+        found = found.join(ties, "root", "left")
+        first &= F.col("text_hash") == F.coalesce("low_hash", "text_hash")
+    gone = found.filter(~first).select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct()
     few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    left = docs.join(F.broadcast(gone) if few else gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
-    again = found.join(gone, found["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti").groupBy("doc_id").count().filter("count > 1")
-    if again.limit(1).count():  # rows that repeat an id: one of them stays
-        left = left.dropDuplicates(["doc_id"])
+    left = docs.join(F.broadcast(gone) if few else gone, docs["doc_id"].eqNullSafe(gone["gone_id"]) & (F.xxhash64(docs["text"]) == gone["gone_hash"]), "left_anti")
+    if tied:  # rows that repeat an id and its text: one of them stays
+        left = left.withColumn("_text_hash", F.xxhash64(left["text"])).dropDuplicates(["doc_id", "_text_hash"]).drop("_text_hash")
     return left
