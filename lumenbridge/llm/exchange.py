@@ -20,6 +20,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +28,9 @@ from pyspark.sql import functions as F
 from .common import materialise, scratch_dir
 
 #: Bytes of text to a chunk; a longer document is a chunk of its own.
-CHUNK_BYTES = 12_000_000
+CHUNK_BYTES = 6_000_000
+#: The answers are dealt to files sorted by chunk, of about so many chunks each but to SLOTS files at least.
+PER_SLOT, SLOTS = 16, 24
 STORE = "chunk long, size long, payload binary"
 
 
@@ -48,7 +51,7 @@ def chunk_store(docs: DataFrame, id_col: str, text_col: str, pack: Callable, lab
 
         def chunk():
             size, packed = pack(ids, texts)
-            return pa.RecordBatch.from_arrays([pa.array([part << 32 | n], pa.int64()), pa.array([size], pa.int64()), pa.array([dump(packed)], pa.binary())], ["chunk", "size", "payload"])
+            return pa.RecordBatch.from_arrays([pa.array([part * 1_000_003 + n], pa.int64()), pa.array([size], pa.int64()), pa.array([dump(packed)], pa.binary())], ["chunk", "size", "payload"])
 
         for batch in batches:
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
@@ -97,23 +100,31 @@ def exchange(store: DataFrame, ask: Callable[[int, object], Iterator[tuple[int,
 
     kind = "shard int, chunk long, blob binary"
     answers = over_chunks(store, asked, kind).groupBy("shard").applyInArrow(answered, kind)
-    path = f"{scratch_dir(spark)}/lumen-{label}-{uuid.uuid4().hex}"
-    answers.repartition(F.col("chunk")).sortWithinPartitions("chunk").write.option("compression", "zstd").partitionBy("chunk").parquet(path)
+    slots = max(SLOTS, store.count() // PER_SLOT)
+    path = f"{scratch_dir(spark)}/lumen-{label}-{uuid.uuid4().hex}-{slots}"
+    slotted = answers.withColumn("slot", F.pmod(F.col("chunk"), F.lit(slots))).repartition("slot").sortWithinPartitions("slot", "chunk")
+    slotted.write.option("compression", "zstd").option("parquet.block.size", str(1 << 18)).partitionBy("slot").parquet(path)
     return path
 
 
 def answers_of(path: str, chunk: int) -> list:
-    """(shard, answer)s of a chunk, by shard."""
+    """(shard, answer)s of a chunk, by shard: only the row groups that hold the chunk are read."""
     import pyarrow.fs as fs
     import pyarrow.parquet as pq
 
     store, root = fs.FileSystem.from_uri(path)
-    found = []
-    for info in store.get_file_info(fs.FileSelector(f"{root}/chunk={chunk}", allow_not_found=True)):
+    found, slots = [], int(path.rpartition("-")[2])
+    for info in store.get_file_info(fs.FileSelector(f"{root}/slot={chunk % slots}", allow_not_found=True)):
         if info.path.endswith(".parquet"):
             with store.open_input_file(info.path) as f:
-                t = pq.ParquetFile(f).read(columns=["shard", "blob"])
-            found += zip(t.column("shard").to_pylist(), map(load, t.column("blob").to_pylist()))
+                file = pq.ParquetFile(f)
+                at = file.schema_arrow.get_field_index("chunk")
+                for k in range(file.num_row_groups):
+                    span = file.metadata.row_group(k).column(at).statistics
+                    if span is None or not span.has_min_max or span.min <= chunk <= span.max:
+                        t = file.read_row_group(k, columns=["shard", "chunk", "blob"])
+                        t = t.filter(pc.equal(t.column("chunk"), chunk))
+                        found += zip(t.column("shard").to_pylist(), map(load, t.column("blob").to_pylist()))
     return sorted(found, key=lambda x: x[0])
 
 

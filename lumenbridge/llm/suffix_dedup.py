@@ -39,7 +39,9 @@ LENGTH, GRAM = 200, 64
 #: Different contexts under a hash beyond which its windows are spread by their own hash.
 HOT = 3000
 #: Bytes of input to a shard, and positions that are hashed at once (under 2**PLACE).
-PER_SHARD, PIECE, PLACE = 24_000_000, 4_000_000, 23
+PER_SHARD, PIECE, PLACE = 16_000_000, 1_000_000, 21
+#: Bytes of contexts that are sorted at once; contexts of one hash stay together.
+BATCH = 1_000_000
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(0, 1 << 64, 256, dtype=np.uint64)
@@ -74,10 +76,11 @@ def contexts(text: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
     ``bounds`` are the documents' ends in ``text``, from 0 on.
     """
     out = []
-    ends = np.repeat(bounds[1:], np.diff(bounds))  # end of the document of each position
     for at in range(0, max(0, len(text) - LENGTH + 1), PIECE):
         part = text[at: at + PIECE + LENGTH - 1]
         n = len(part) - LENGTH + 1
+        doc = np.searchsorted(bounds, np.arange(at, at + n), side="right").astype(np.int32)
+        own = np.arange(at + LENGTH, at + LENGTH + n) <= bounds[doc]
         grams = _BYTE[part]
         k = 1
         while k < GRAM:
@@ -92,10 +95,9 @@ def contexts(text: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
         if k < span:
             packed = np.minimum(packed[: len(packed) - (span - k)], packed[span - k:])
         anchor = (packed[:n] & np.uint64((1 << PLACE) - 1)).astype(np.int64)
-        own = np.arange(n) + at + LENGTH <= ends[at: at + n]
         # runs of windows of one document under one anchor
         new = own.copy()
-        new[1:] &= (anchor[1:] != anchor[:-1]) | ~own[:-1] | (ends[at + 1: at + n] != ends[at: at + n - 1])
+        new[1:] &= (anchor[1:] != anchor[:-1]) | ~own[:-1] | (doc[1:] != doc[:-1])
         first = np.flatnonzero(new)
         stop = own.copy()
         stop[:-1] &= new[1:] | ~own[1:]
@@ -230,15 +232,18 @@ def _ask_texts(first: str, shards: int):
         w = w.astype(np.int64)
         questions: dict[int, list] = {}
         cool = ~hot
-        for shard, (s_, w_, d_) in _split(h[cool], shards, s[cool], w[cool], double[cool]):
+        for shard, (h_, s_, w_, d_) in _split(h[cool], shards, h[cool], s[cool], w[cool], double[cool]):
             size = w_ + LENGTH - 1
             at = np.repeat(s_ - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            questions.setdefault(shard, [None, None])[0] = (s_, w_.astype(np.uint8), d_, text[at].tobytes())
+            questions.setdefault(shard, [None, None])[0] = (s_, w_.astype(np.uint8), d_, text[at].tobytes(), h_)
         if hot.any():
             many = w[hot]
             start = np.repeat(s[hot] - (np.cumsum(many) - many), many) + np.arange(many.sum())
-            prefix = Prefix(text)
-            key = prefix.of(start, start + LENGTH)
+            key = np.empty(len(start), dtype=np.uint64)
+            for i in range(0, len(text), PIECE):  # running sums of a piece at a time
+                own = (start >= i) & (start < i + PIECE)
+                if own.any():
+                    key[own] = Prefix(text[i: i + PIECE + LENGTH]).of(start[own] - i, start[own] - i + LENGTH)
             for shard, (k_, s_, d_) in _split(key, shards, key, start, np.repeat(double[hot], many)):
                 questions.setdefault(shard, [None, None])[1] = (k_, s_, d_)
         yield from questions.items()
@@ -253,18 +258,26 @@ def _compare(asked):
     if texts:
         text = np.frombuffer(b"".join(q[3] for _, q in texts), dtype=np.uint8)
         owner = np.repeat(np.arange(len(texts)), [len(q[0]) for _, q in texts])
-        s, double = np.concatenate([q[0] for _, q in texts]), np.concatenate([q[2] for _, q in texts])
+        s, double, h = (np.concatenate([q[k] for _, q in texts]) for k in (0, 2, 4))
         w = np.concatenate([q[1] for _, q in texts]).astype(np.int64)
         size = w + LENGTH - 1
         base = np.cumsum(size) - size
-        number = np.repeat(np.arange(len(w)), w)
-        inside = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
-        same = repeated_windows(text, base[number] + inside)
-        keep = same & ~double[number]  # contexts met twice are covered already
-        for k, (chunk, _) in enumerate(texts):
-            own = keep & (owner[number] == k)
-            if own.any():
-                out.setdefault(chunk, []).append((s[number] + inside)[own])
+        by = np.argsort(h, kind="stable")
+        last = np.flatnonzero(np.append(h[by][1:] != h[by][:-1], True)) + 1  # ends of the hashes' contexts
+        filled, done = np.cumsum(size[by]), 0
+        while done < len(by):
+            upto = max(done, int(np.searchsorted(filled, (filled[done - 1] if done else 0) + BATCH)))
+            end = int(last[min(len(last) - 1, np.searchsorted(last, upto, side="left"))])
+            own, done = by[done:end], end
+            m = size[own]
+            inner = np.cumsum(m) - m
+            part = text[np.arange(m.sum()) + np.repeat(base[own] - inner, m)]
+            number = np.repeat(np.arange(len(own)), w[own])
+            inside = np.arange(len(number)) - np.repeat(np.cumsum(w[own]) - w[own], w[own])
+            keep = repeated_windows(part, inner[number] + inside) & ~double[own][number]  # contexts met twice are covered already
+            at, to = s[own][number][keep] + inside[keep], owner[own][number][keep]
+            for k in np.unique(to).tolist():
+                out.setdefault(texts[k][0], []).append(at[to == k])
     windows = [(chunk, q[1]) for chunk, q in asked if q[1]]
     if windows:
         owner = np.repeat(np.arange(len(windows)), [len(q[0]) for _, q in windows])
