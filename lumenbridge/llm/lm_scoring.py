@@ -41,14 +41,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import TO_LOWER, table
-from .exchange import answers_of, chunk_store, exchange, mix64, over_chunks, shards_for, to_shards
+from .exchange import answers_of, chunk_store, exchange, load, mix64, over_chunks, shards_for, to_shards
 
 FOLDS, OUT = 7, 2
 #: Discount and strength of contexts and of the parent.
 DISCOUNT, STRENGTH, ROOT_DISCOUNT, ROOT_STRENGTH = 0.75, 4.0, 0.5, 1.0
 UNKNOWN = 0.5
 ROUNDS, SWEEPS, EXACT = 2, 3, 48
-PER_SHARD = 3_000_000
+PER_SHARD = 2_000_000
 #: Hashes of the end token, and of the context of a document's first token.
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
@@ -109,14 +109,9 @@ class Chunk:
         before = np.empty_like(self.token)
         before[1:] = self.token[:-1]
         before[np.cumsum(self.lengths) - self.lengths] = self.n  # the start
-        pair, which = np.unique(before * (self.n + 1) + self.token, return_inverse=True)
-        u, w = pair // (self.n + 1), pair % (self.n + 1)
-        key = mix64(np.append(self.words, START)[u] * np.uint64(0x9E3779B97F4A7C15) + self.words[w]) >> np.uint64(16)
-        order = np.argsort(key, kind="stable")
-        self.u, self.w, self.key = u[order], w[order], key[order]
-        place = np.empty(len(order), dtype=np.int64)
-        place[order] = np.arange(len(order))
-        self.bigram = place[which]
+        key = mix64(np.append(self.words, START)[before] * np.uint64(0x9E3779B97F4A7C15) + self.words[self.token]) >> np.uint64(16)
+        self.key, first, self.bigram = np.unique(key, return_index=True, return_inverse=True)
+        self.u, self.w = before[first], self.token[first]
 
     def slices(self, keys: np.ndarray, shards: int) -> np.ndarray:
         return np.searchsorted(to_shards(keys, shards), np.arange(shards + 1))
@@ -154,15 +149,13 @@ def _answer_counts(asked):
     return [(-1, known), *((chunk, (pack_ints(a), pack_ints(b), np.packbits(o))) for (chunk, _), a, b, o in zip(asked, words, pairs, owners))]
 
 
-def _uniform(key: np.ndarray, *numbers: int) -> np.ndarray:
-    x = key.astype(np.uint64)
-    for k in numbers:
-        x = mix64(x + np.uint64((k * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) % (1 << 64)))
+def _uniform(key: np.ndarray, stream: int, number: int) -> np.ndarray:
+    x = mix64(key.astype(np.uint64) + np.uint64(((stream << 32 | number) * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) % (1 << 64)))
     return ((x >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
 
 
-def _poisson(mean: np.ndarray, key: np.ndarray, *numbers: int) -> np.ndarray:
-    u = _uniform(key, 101, *numbers)
+def _poisson(mean: np.ndarray, key: np.ndarray, stream: int, number: int) -> np.ndarray:
+    u = _uniform(key, stream + (1 << 20), number)
     out = np.zeros(len(mean))
     low = mean < 12
     term = np.exp(-mean[low])
@@ -173,32 +166,38 @@ def _poisson(mean: np.ndarray, key: np.ndarray, *numbers: int) -> np.ndarray:
         term = term * mean[low] / k
         cdf += term
     out[low] = got
-    z = np.sqrt(-2 * np.log(u[~low])) * np.cos(2 * np.pi * _uniform(key[~low], 202, *numbers))
+    z = np.sqrt(-2 * np.log(u[~low])) * np.cos(2 * np.pi * _uniform(key[~low], stream + (2 << 20), number))
     out[~low] = np.maximum(0, np.round(mean[~low] + np.sqrt(mean[~low]) * z))
     return out
 
 
-def seat(customers: np.ndarray, weight: np.ndarray, discount: float, key: np.ndarray, sweep: int) -> np.ndarray:
-    """Tables that the customers (1 at least) of each dish open; ``weight`` is the odds of a new table."""
-    tables = np.ones(len(customers))
-    by = np.argsort(-customers, kind="stable")
+def seat(customers: np.ndarray, weight: np.ndarray, discount: float, key: np.ndarray, first: int) -> np.ndarray:
+    """Tables that the customers (1 at least) of each dish open, summed over the sweeps; ``weight`` is the odds of a new table.
+
+    ``first`` numbers the sweeps' random streams.
+    """
+    tables = np.full(len(customers), float(SWEEPS))  # the only customer has the only table
+    more = np.flatnonzero(customers > 1)
+    by = more[np.argsort(-customers[more], kind="stable")]
     c, a, k = customers[by].astype(float), weight[by], key[by]
-    t = np.ones(len(by))
-    n = len(by)
-    for j in range(1, EXACT):
-        n = int(np.searchsorted(-c[:n], -j, side="left"))  # dishes with over j customers
-        if not n:
-            break
-        t[:n] += _uniform(k[:n], sweep, j) * (a[:n] + j - discount * t[:n]) < a[:n]
-    n = int(np.searchsorted(-c[:n], -EXACT, side="left")) if n else 0
-    j = EXACT
-    while n:
-        stop = np.minimum(2 * j, c[:n])
-        free = a[:n] - discount * t[:n]
-        t[:n] += np.minimum(_poisson(a[:n] * np.log((free + stop) / (free + j)), k[:n], sweep, j), stop - j)
-        j *= 2
-        n = int(np.searchsorted(-c[:n], -j, side="left"))
-    tables[by] = t
+    falling = -c
+    for sweep in range(first, first + SWEEPS):
+        t = np.ones(len(by))
+        n = len(by)
+        for j in range(1, EXACT):
+            n = int(np.searchsorted(falling[:n], -j, side="left"))  # dishes with over j customers
+            if not n:
+                break
+            t[:n] += _uniform(k[:n], sweep, j) * (a[:n] + j - discount * t[:n]) < a[:n]
+        n = int(np.searchsorted(falling[:n], -EXACT, side="left")) if n else 0
+        j = EXACT
+        while n:
+            stop = np.minimum(2 * j, c[:n])
+            free = a[:n] - discount * t[:n]
+            t[:n] += np.minimum(_poisson(a[:n] * np.log((free + stop) / (free + j)), k[:n], sweep, j), stop - j)
+            j *= 2
+            n = int(np.searchsorted(falling[:n], -j, side="left"))
+        tables[by] += t - 1
     return tables
 
 
@@ -235,8 +234,7 @@ class Model:
         at = np.flatnonzero(self.pairs > 0)
         weight = (STRENGTH + DISCOUNT * tables[self.c.u[at]]) * p[self.c.w[at]]
         out = np.zeros(len(self.pairs))
-        for sweep in range(SWEEPS):
-            out[at] += seat(self.pairs[at], weight, DISCOUNT, self.c.key[at], sweep)
+        out[at] = seat(self.pairs[at], weight, DISCOUNT, self.c.key[at], 0)
         return out
 
 
@@ -263,8 +261,7 @@ def _answer_tables(v: float):
         own = np.zeros(len(every))
         at = np.flatnonzero(sent > 0)
         weight = np.full(len(at), (ROOT_STRENGTH + ROOT_DISCOUNT * v) * (1 - UNKNOWN) / max(1.0, v))
-        for sweep in range(SWEEPS):
-            own[at] += seat(np.maximum(1, np.round(sent[at] / SWEEPS)), weight, ROOT_DISCOUNT, every[at], 1000 + sweep)
+        own[at] = seat(np.maximum(1, np.round(sent[at] / SWEEPS)), weight, ROOT_DISCOUNT, every[at], 1000)
         cut = np.cumsum([len(k) for k in keys])[:-1]
         parts = [np.split(x[which], cut) for x in (opened, sent, own)]
         return [(-1, (float(sent.sum()), float(own.sum()), sum(q[3] for _, q in asked))), *((chunk, tuple(pack_ints(p[k]) for p in parts)) for k, (chunk, _) in enumerate(asked))]
@@ -317,15 +314,10 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def general(spark: SparkSession, path: str) -> list:
     """What the shards of an exchange say of all: one small row of each."""
-    from .exchange import load
-
-    rows = spark.read.parquet(path).filter("chunk = -1").select("shard", "blob").collect() if has_any(spark, path) else []
-    return [(r[0], load(r[1])) for r in rows]
-
-
-def has_any(spark: SparkSession, path: str) -> bool:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/chunk=-1")
-    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+    there = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/slot=*"))
+    if not len(there):  # nothing was asked
+        return []
+    return [(r[0], load(r[1])) for r in spark.read.parquet(path).filter("chunk = -1").select("shard", "blob").collect()]
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
