@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import sys
 import types
 import uuid
@@ -46,8 +47,8 @@ VOCABULARY = "word_bpe_49k.json"
 #: Printable ASCII without capitals, and the pieces that the tokenizer's own pattern finds in it.
 PLAIN = re.compile(rb"[!-@\[-~]+")
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
-#: Letters whose normal form is themselves and that byte pairs spell as two characters.
-LATIN = re.compile(r"[a-zß-öø-ÿ]+")
+#: A word of small Latin letters, and marks that follow it.
+MARKED = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)[.,;:!?]+")
 
 
 def default_tokenizer() -> str:
@@ -86,13 +87,18 @@ class Encoder(dict):
         return out
 
     def __missing__(self, chunk: bytes) -> bytes:
+        marked = self.plain and MARKED.fullmatch(chunk)
+        if marked:  # a word and marks after it are pieces of their own
+            found = self[chunk[: marked.end(1)]] + self[chunk[marked.end(1):]]
+            self[chunk] = found
+            return found
         if self.plain and PLAIN.fullmatch(chunk):
             ids = self.pieces(chunk.decode())
         else:
             text = chunk.decode("utf-8", "replace")
             simple = self.plain and re.fullmatch(r"[!-@\[-~ß-öø-ÿ]+", text)
             ids = self.pieces(text) if simple else self.tokenizer.encode(text, add_special_tokens=False).ids
-        found = np.array(ids, dtype="<u4").tobytes()
+        found = struct.pack(f"<{len(ids)}I", *ids)
         if len(self) > TABLE:
             self.clear()
             self[b""] = b""
