@@ -79,12 +79,13 @@ def over_chunks(store: DataFrame, work: Callable[[int, object], Iterator[pa.Reco
     return store.select("chunk", "payload").mapInArrow(run, schema)
 
 
-def exchange(store: DataFrame, ask: Callable[[int, object], Iterator[tuple[int, object]]], answer: Callable[[list[tuple[int, object]]], list[tuple[int, object]]], label: str) -> str:
+def exchange(store: DataFrame, ask: Callable[[int, object], Iterator[tuple[int, object]]], answer: Callable[[list[tuple[int, object]]], list[tuple[int, object]]], label: str, shards: int | None = None) -> str:
     """Ask the shards and write their answers by chunk; the path is returned.
 
     ``ask(chunk, object)`` gives (shard, question)s; ``answer`` takes the
     (chunk, question)s of one shard and gives (chunk, answer)s, where chunk -1
-    is for what concerns all.
+    is for what concerns all. With ``shards``, that many tasks answer, whatever
+    the size of the questions: for answers that take long for their bytes.
     """
     spark = store.sparkSession
 
@@ -99,7 +100,10 @@ def exchange(store: DataFrame, ask: Callable[[int, object], Iterator[tuple[int,
         return pa.table([pa.array([shard] * len(found), pa.int32()), pa.array([c for c, _ in found], pa.int64()), pa.array([dump(x) for _, x in found], pa.binary())], ["shard", "chunk", "blob"])
 
     kind = "shard int, chunk long, blob binary"
-    answers = over_chunks(store, asked, kind).groupBy("shard").applyInArrow(answered, kind)
+    questions = over_chunks(store, asked, kind)
+    if shards:
+        questions = questions.repartition(shards, "shard")
+    answers = questions.groupBy("shard").applyInArrow(answered, kind)
     slots = max(SLOTS, store.count() // PER_SLOT)
     path = f"{scratch_dir(spark)}/lumen-{label}-{uuid.uuid4().hex}-{slots}"
     slotted = answers.withColumn("slot", F.pmod(F.col("chunk"), F.lit(slots))).repartition("slot").sortWithinPartitions("slot", "chunk")

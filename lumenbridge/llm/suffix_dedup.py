@@ -188,8 +188,8 @@ def _open(packed):
 
 
 def _split(keys: np.ndarray, shards: int, *arrays: np.ndarray):
-    """(shard, arrays) with the rows of each shard in their order."""
-    to = to_shards(keys, shards)
+    """(shard, arrays) with the rows of each shard in their order; anchors' hashes are small ones, so keys are mixed again."""
+    to = to_shards(mix64(keys), shards)
     by = np.argsort(to, kind="stable")
     cut = np.searchsorted(to[by], np.arange(shards + 1))
     for k in range(shards):
@@ -324,8 +324,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         h, c, s, w = contexts(text, bounds)
         yield from _split(h, shards, h, c, s.astype(np.uint32), w.astype(np.uint8))
 
-    first = exchange(store, ask, _judge, "suffix-anchors")
-    second = exchange(store, _ask_texts(first, shards), _compare, "suffix-texts")
+    first = exchange(store, ask, _judge, "suffix-anchors", shards)
+    second = exchange(store, _ask_texts(first, shards), _compare, "suffix-texts", shards)
     return over_chunks(store, _finish(first, second), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
