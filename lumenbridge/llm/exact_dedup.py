@@ -1,8 +1,9 @@
 """Exact dedup by content sort (DataFrame operations only).
 
-Whole normalised texts are range-partitioned by splitters that Spark samples,
-sorted externally inside each range so that equal texts are neighbours, and
-neighbours are compared in full; of equal texts the smallest id stays.
+Normalised texts are range-partitioned by splitters that Spark samples, sorted
+externally inside each range so that equal texts are neighbours, and neighbours
+are compared in full; of equal texts the smallest id stays. The sort goes by
+the texts' first characters, then a digest, then the whole text.
 
 A text with very many copies would fill one range. Such texts are found first
 by a map-side combined count of SHA-256 digests; their copies are then salted
@@ -27,6 +28,8 @@ from .common import shuffle_partitions, table
 HOT_KEYS = 20_000
 #: Copies of one text that a single range may always hold.
 HOT_ROWS = 400
+#: Characters of a text that come first in the sort; a digest, and then the whole text, decide between equal ones.
+HEAD = 48
 
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -39,7 +42,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per input row: id, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``."""
     spark = docs.sparkSession
     rows = docs.select(docs[id_col].alias("doc_id"), normalise(docs[text_col]).alias("norm"))
-    rows = rows.select("doc_id", "norm", F.sha2(F.encode("norm", "UTF-8"), 256).alias("sha"))
+    rows = rows.select("doc_id", "norm", F.coalesce(F.sha2(F.encode("norm", "UTF-8"), 256), F.lit("")).alias("sha"))  # never null: no filter computes it twice
     # each hot text has over `least` of all rows, so there are at most HOT_KEYS of them
     least = max(hot_rows, docs.count() // HOT_KEYS)
     hot = (
@@ -50,8 +53,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     salted = rows.join(F.broadcast(hot), "sha", "left").withColumn(
         "salt", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("doc_id"), F.col("parts"))).otherwise(F.lit(0).cast("long"))
     )
-    ranged = salted.repartitionByRange(shuffle_partitions(spark), "norm", "salt")
-    equal = Window.partitionBy("norm", "salt").orderBy(F.asc_nulls_last("doc_id"))
+    # splitters are drawn from the head of the text and a digest, as a sample of whole texts would not fit the driver
+    salted = salted.withColumns({"head": F.substring("norm", 1, HEAD), "mark": F.substring("sha", 1, 16)})
+    ranged = salted.repartitionByRange(shuffle_partitions(spark), "head", "mark", "salt")
+    equal = Window.partitionBy("head", "mark", "salt", "norm").orderBy(F.asc_nulls_last("doc_id"))
     whole = equal.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     found = ranged.select(
         "doc_id", "sha",
