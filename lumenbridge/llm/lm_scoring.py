@@ -5,16 +5,19 @@ parent, the unigram restaurant, whose base gives half of its mass to an unknown
 word and the rest evenly to the known ones. Customers of a context are the
 training tokens after it; tables of the contexts are the parent's customers.
 
-Seating is drawn by Gibbs sampling in blocks: a sweep redraws, dish by dish and
-restaurant by restaurant, how the dish's customers are seated by the Chinese
-restaurant rule, given the tables of all other dishes and the parent's
-probability. The first customer opens a table; the next one opens another with
-odds (strength + discount * tables of the restaurant) * parent probability
-against customers so far - discount * tables so far. Up to ``EXACT`` customers
-are seated one by one; later ones, whose rule hardly changes from one to the
-next, in runs of doubling length by a Poisson count. Tables are averaged over
-``SWEEPS`` sweeps of each round; predictive probabilities are linear in them,
-so this averages the predictive probabilities.
+Seating is drawn by blocked Gibbs sampling. Customers are first seated one
+after another by the Chinese restaurant rule (``seat``); every later sweep
+redraws the tables of all dishes given the state that the sweep before left.
+With auxiliary gamma variables the conditional falls apart into dishes: given
+g ~ Gamma(strength / discount + tables of the restaurant) and a draw p of the
+parent's distribution, a dish with n customers has t tables with odds
+a^t * S_d(n, t), where a = discount * g * p(dish) and S_d are generalised
+Stirling numbers (``gibbs_tables``). So all dishes of a sweep are drawn at once
+and the order of chunks does not matter. Two things are not exact: above
+``STIRLING`` customers t is drawn from a limit law of the same conditional, and
+the part of p that lies outside the parent's tables has its mean in place of a
+draw. The seating and the ``ROUNDS`` - 1 sweeps after it are burn-in;
+predictive probabilities are averaged over the next ``SWEEPS`` sweeps.
 
 Counts are exact and over all training documents. Documents stay packed in
 their chunks; shards of word and bigram hashes sum what chunks send and answer
@@ -33,7 +36,9 @@ are ignored.
 
 from __future__ import annotations
 
+import functools
 import zlib
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +53,12 @@ FOLDS, OUT = 7, 2
 DISCOUNT, STRENGTH, ROOT_DISCOUNT, ROOT_STRENGTH = 0.75, 4.0, 0.5, 1.0
 UNKNOWN = 0.5
 ROUNDS, SWEEPS, EXACT = 2, 3, 48
+#: Dishes with up to so many customers have their tables drawn with Stirling numbers.
+STIRLING = 512
 PER_SHARD = 2_000_000
+#: Random streams of a sweep's gamma variates of contexts and of words, and of the parent's tables.
+CONTEXT_STREAM, WORD_STREAM, ROOT_STREAM = 10_000, 20_000, 30_000
+ROOT = np.array([0x2545F4914F6CDD1D], dtype=np.uint64)
 #: Hashes of the end token, and of the context of a document's first token.
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
@@ -172,9 +182,10 @@ def _poisson(mean: np.ndarray, key: np.ndarray, stream: int, number: int) -> np.
 
 
 def seat(customers: np.ndarray, weight: np.ndarray, discount: float, key: np.ndarray, first: int) -> np.ndarray:
-    """Tables that the customers (1 at least) of each dish open, summed over the sweeps; ``weight`` is the odds of a new table.
+    """Tables that the customers (1 at least) of each dish open when seated one after another: the sum of ``SWEEPS`` draws.
 
-    ``first`` numbers the sweeps' random streams.
+    ``weight`` is the odds of a new table, ``first`` numbers the draws' random streams. This starts the
+    sampler; it is no draw from the conditional given all other tables, which ``gibbs_tables`` makes.
     """
     tables = np.full(len(customers), float(SWEEPS))  # the only customer has the only table
     more = np.flatnonzero(customers > 1)
@@ -201,11 +212,110 @@ def seat(customers: np.ndarray, weight: np.ndarray, discount: float, key: np.nda
     return tables
 
 
+@functools.cache
+def stirling(discount: float) -> np.ndarray:
+    """Logarithms of S_d(n, t) for n and t up to ``STIRLING``."""
+    out = np.full((STIRLING + 1, STIRLING + 1), -np.inf)
+    out[0, 0] = 0.0
+    t = np.arange(1, STIRLING + 1)
+    for n in range(STIRLING):
+        with np.errstate(divide="ignore"):
+            stay = np.log(np.maximum(0.0, n - discount * t))
+        out[n + 1, 1:] = np.logaddexp(out[n, :-1], stay + out[n, 1:])
+    return out
+
+
+def _normal(key: np.ndarray, stream: int, number: int) -> np.ndarray:
+    return np.sqrt(-2 * np.log(_uniform(key, stream, number))) * np.cos(2 * np.pi * _uniform(key, stream, number + 1))
+
+
+def _gamma(shape: np.ndarray, key: np.ndarray, stream: int) -> np.ndarray:
+    """Gamma variates (Marsaglia and Tsang); those of shape zero are zero."""
+    out = np.zeros(len(shape))
+    left = np.flatnonzero(shape > 0)
+    small = left[shape[left] < 1]
+    d = np.where(shape < 1, shape + 1, shape) - 1 / 3
+    for tries in range(0, 300, 3):
+        if not len(left):
+            break
+        k, dd = key[left], d[left]
+        z = _normal(k, stream, tries)
+        v = (1 + z / np.sqrt(9 * dd)) ** 3
+        good = v > 0
+        v = np.where(good, v, 1.0)
+        good &= np.log(_uniform(k, stream, tries + 2)) < z * z / 2 + dd * (1 - v + np.log(v))
+        out[left[good]] = (dd * v)[good]
+        left = left[~good]
+    out[small] *= _uniform(key[small], stream, 300) ** (1 / shape[small])
+    return out
+
+
+def _many_tables(n: np.ndarray, a: np.ndarray, discount: float, key: np.ndarray, stream: int) -> np.ndarray:
+    """Tables of dishes with many customers.
+
+    a^t * S_d(n, t) is the law of the number of jumps of a compound Poisson sum with Sibuya jumps, given that
+    the sum is n. Where a is small against n one jump takes nearly all, and the others are Poisson with mean
+    a / d; elsewhere t is nearly normal, with moments at the saddle point x of a * x * (1 - x)^(d - 1) = n.
+    """
+    low, high = np.zeros(len(n)), np.full(len(n), 700.0)
+    for _ in range(60):  # y = -log(1 - x)
+        y = (low + high) / 2
+        over = np.log(a) + np.log(-np.expm1(-y)) + (1 - discount) * y > np.log(n)
+        low, high = np.where(over, low, y), np.where(over, y, high)
+    rest = np.exp(-discount * y)
+    mean = a / discount * (1 - rest)
+    first = n / mean  # moments of a jump
+    second = first * (1 + (1 - discount) * np.expm1(y))
+    normal = np.round(mean + np.sqrt(np.maximum(0.0, mean * (1 - first * first / second))) * _normal(key, stream, 10))
+    jumps = 1 + _poisson(a / discount, key, stream, 20)
+    few = ((a / n) ** (discount / (1 - discount)) < 1e-3) | (a / discount < 10)
+    return np.clip(np.where(few, jumps, normal), 1, n)
+
+
+def gibbs_tables(customers: np.ndarray, weight: np.ndarray, discount: float, key: np.ndarray, stream: int) -> np.ndarray:
+    """Tables t of each dish (1 customer at least), drawn with odds ``weight``^t * S_d(customers, t)."""
+    tables = np.ones(len(customers))
+    more = np.flatnonzero(customers > 1)
+    by = more[np.argsort(customers[more], kind="stable")]
+    c, a, k = customers[by].astype(np.int64), np.maximum(weight[by], 1e-300), key[by]
+    u = _uniform(k, stream, 0)
+    logs, drawn = stirling(discount), np.ones(len(by))
+    sizes, starts = np.unique(c, return_index=True)
+    for n, i, j in zip(sizes.tolist(), starts.tolist(), [*starts[1:].tolist(), len(c)]):
+        if n > STIRLING:
+            drawn[i:] = _many_tables(c[i:].astype(float), a[i:], discount, k[i:], stream)
+            break
+        if n == 2:
+            drawn[i:j] += u[i:j] * (a[i:j] + 1 - discount) < a[i:j]
+            continue
+        step = np.exp(np.diff(logs[n, 1: n + 1]))  # odds of t + 1 against t, but for the weight
+        for part in range(i, j, 20_000):
+            rows = slice(part, min(j, part + 20_000))
+            odds = np.log(a[rows])[:, None] + np.log(step)[None, :]
+            odds = np.concatenate([np.zeros((odds.shape[0], 1)), np.cumsum(odds, axis=1)], axis=1)
+            cdf = np.cumsum(np.exp(odds - odds.max(axis=1, keepdims=True)), axis=1)
+            drawn[rows] += (cdf < u[rows, None] * cdf[:, -1:]).sum(axis=1)
+    tables[by] = drawn
+    return tables
+
+
+class State(NamedTuple):
+    """What a sweep left: its number, the answers' path, and customers, tables and gamma variates of the parent and tables after the start."""
+
+    sweep: int
+    path: str | None = None
+    customers: float = 0.0
+    own: float = 0.0
+    start: float = 0.0
+    gammas: float = 0.0
+
+
 class Model:
-    """What a chunk knows of the model after some rounds."""
+    """What a chunk knows of the model after some sweeps."""
 
     def __init__(self, chunk: int, packed, counts: str, n: float, v: float):
         self.c = c = Chunk(packed)
+        self.chunk = chunk
         got = [x for _, x in answers_of(counts, chunk)]
         self.n, self.v = n, v
         self.count = np.concatenate([unpack_ints(x[0]) for x in got]).astype(float)
@@ -216,33 +326,39 @@ class Model:
         self.context = np.append(self.count, end)  # each document has one start and one end
         self.base = (self.count + 1) / (n + v + 1)
 
-    def parent(self, chunk: int, path: str | None, sums):
-        """Tables of each context, and the parent's probability of each word, after a round (before the first: estimates)."""
-        if path is None:
-            return self.context ** DISCOUNT, self.base
-        got = [x for _, x in answers_of(path, chunk)]
-        tables, customers, own = (np.concatenate([unpack_ints(x[k]) for x in got]).astype(float) / SWEEPS for k in range(3))
-        start = sums[2] / SWEEPS
-        all_c, all_t = sums[0] / SWEEPS, sums[1] / SWEEPS
+    def parent(self, state: State):
+        """After a sweep: tables of each context, the parent's probability of each word, and the weights that the next sweep draws for both."""
+        if state.path is None:  # estimates, before any customer sits
+            tables = self.context ** DISCOUNT
+            return tables, self.base, STRENGTH + DISCOUNT * tables, self.base
+        got = [x for _, x in answers_of(state.path, self.chunk)]
+        tables, customers, own = (np.concatenate([unpack_ints(x[k]) for x in got]).astype(float) for k in range(3))
+        tables = np.append(tables, state.start)
         g = np.where(self.count > 0, (1 - UNKNOWN) / max(1.0, self.v), UNKNOWN if self.v else 1.0)
-        p = (np.maximum(0, customers - ROOT_DISCOUNT * own) + (ROOT_STRENGTH + ROOT_DISCOUNT * all_t) * g) / (ROOT_STRENGTH + all_c)
-        return np.append(tables, start), p
-
-    def tables(self, state) -> np.ndarray:
-        """Tables of every bigram, summed over the sweeps."""
-        tables, p = state
-        at = np.flatnonzero(self.pairs > 0)
-        weight = (STRENGTH + DISCOUNT * tables[self.c.u[at]]) * p[self.c.w[at]]
+        free = ROOT_STRENGTH + ROOT_DISCOUNT * state.own
+        p = (customers - ROOT_DISCOUNT * own + free * g) / (ROOT_STRENGTH + state.customers)
+        drawn = DISCOUNT * _gamma(STRENGTH / DISCOUNT + tables, np.append(self.c.words, START), CONTEXT_STREAM + state.sweep)
+        rest = _gamma(np.array([free]), ROOT, WORD_STREAM + state.sweep)[0]
+        q = (_gamma(customers - ROOT_DISCOUNT * own, self.c.words, WORD_STREAM + state.sweep) + rest * g) / (state.gammas + rest)
+        return tables, p, drawn, q
+
+    def tables(self, state: State, drawn, q, of: np.ndarray) -> np.ndarray:
+        """Tables of the bigrams ``of`` (a mask) in the sweep after ``state``."""
+        at = np.flatnonzero(of & (self.pairs > 0))
+        weight = drawn[self.c.u[at]] * q[self.c.w[at]]
         out = np.zeros(len(self.pairs))
-        out[at] = seat(self.pairs[at], weight, DISCOUNT, self.c.key[at], 0)
+        if state.path is None:
+            out[at] = np.maximum(1, np.round(seat(self.pairs[at], weight, DISCOUNT, self.c.key[at], 0) / SWEEPS))
+        else:
+            out[at] = gibbs_tables(self.pairs[at], weight, DISCOUNT, self.c.key[at], SWEEPS + state.sweep)
         return out
 
 
-def _ask_tables(shards: int, counts: str, n: float, v: float, last: tuple):
+def _ask_tables(shards: int, counts: str, n: float, v: float, last: State):
     def ask(chunk, packed):
         m = Model(chunk, packed, counts, n, v)
-        c, own = m.c, m.owner
-        t = m.tables(m.parent(chunk, *last)) * own
+        c = m.c
+        t = m.tables(last, *m.parent(last)[2:], m.owner)
         opened = np.bincount(c.u, weights=t, minlength=c.n + 1)
         sent = np.bincount(c.w, weights=t, minlength=c.n)
         a = c.slices(c.words, shards)
@@ -253,31 +369,36 @@ def _ask_tables(shards: int, counts: str, n: float, v: float, last: tuple):
     return ask
 
 
-def _answer_tables(v: float):
+def _answer_tables(v: float, last: State):
     def answer(asked):
         keys = [q[0] for _, q in asked]
         every, opened, which, _ = _totals(keys, [unpack_ints(q[1]).astype(float) for _, q in asked])
         sent = np.bincount(which, weights=np.concatenate([unpack_ints(q[2]) for _, q in asked]).astype(float), minlength=len(every))
         own = np.zeros(len(every))
         at = np.flatnonzero(sent > 0)
-        weight = np.full(len(at), (ROOT_STRENGTH + ROOT_DISCOUNT * v) * (1 - UNKNOWN) / max(1.0, v))
-        own[at] = seat(np.maximum(1, np.round(sent[at] / SWEEPS)), weight, ROOT_DISCOUNT, every[at], 1000)
+        tables = v if last.path is None else last.own
+        drawn = ROOT_DISCOUNT * _gamma(np.array([ROOT_STRENGTH / ROOT_DISCOUNT + tables]), ROOT, CONTEXT_STREAM + last.sweep)[0]
+        own[at] = gibbs_tables(sent[at], np.full(len(at), drawn * (1 - UNKNOWN) / max(1.0, v)), ROOT_DISCOUNT, every[at], ROOT_STREAM + last.sweep)
+        gammas = _gamma(sent - ROOT_DISCOUNT * own, every, WORD_STREAM + last.sweep + 1).sum()
         cut = np.cumsum([len(k) for k in keys])[:-1]
         parts = [np.split(x[which], cut) for x in (opened, sent, own)]
-        return [(-1, (float(sent.sum()), float(own.sum()), sum(q[3] for _, q in asked))), *((chunk, tuple(pack_ints(p[k]) for p in parts)) for k, (chunk, _) in enumerate(asked))]
+        return [(-1, (float(sent.sum()), float(own.sum()), sum(q[3] for _, q in asked), float(gammas))), *((chunk, tuple(pack_ints(p[k]) for p in parts)) for k, (chunk, _) in enumerate(asked))]
 
     return answer
 
 
-def _finish(counts: str, n: float, v: float, before: tuple, last: tuple):
+def _finish(counts: str, n: float, v: float, states: list[State]):
     def work(chunk, packed):
         m = Model(chunk, packed, counts, n, v)
         c = m.c
-        seated = m.tables(m.parent(chunk, *before)) / SWEEPS
-        tables, p = m.parent(chunk, *last)
         u, w = c.u, c.w
-        prob = (np.maximum(0, m.pairs - DISCOUNT * seated) + (STRENGTH + DISCOUNT * tables[u]) * p[w]) / (STRENGTH + m.context[u])
-        prob = np.where(m.context[u] > 0, prob, p[w])
+        prob = np.zeros(len(m.pairs))
+        before = m.parent(states[0])
+        for last, state in zip(states, states[1:]):
+            seated = m.tables(last, *before[2:], np.ones(len(m.pairs), dtype=bool))
+            tables, p, *_ = before = m.parent(state)
+            one = (m.pairs - DISCOUNT * seated + (STRENGTH + DISCOUNT * tables[u]) * p[w]) / (STRENGTH + m.context[u])
+            prob += np.where(m.context[u] > 0, one, p[w]) / (len(states) - 1)
         docs = len(c.ids)
         known = np.bincount(c.doc, weights=m.count[c.token] > 0, minlength=docs).astype(np.int64)
         base = np.bincount(c.doc, weights=np.log10(m.base)[c.token], minlength=docs)
@@ -304,12 +425,11 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     n = float(sum(r[0] for r in over_chunks(store, trained, "n long").groupBy().sum("n").collect() if r[0] is not None))
     counts = exchange(store, _ask_counts(shards), _answer_counts, "lm-counts")
     v = float(sum(x for _, x in general(spark, counts)))
-    paths: list[tuple] = [(None, None)]
-    for _ in range(rounds):
-        path = exchange(store, _ask_tables(shards, counts, n, v, paths[-1]), _answer_tables(v), "lm-tables")
-        sums = tuple(sum(x[k] for _, x in general(spark, path)) for k in range(3))
-        paths.append((path, sums))
-    return over_chunks(store, _finish(counts, n, v, paths[-2], paths[-1]), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
+    states = [State(0)]
+    for sweep in range(1, rounds + SWEEPS + 1):
+        path = exchange(store, _ask_tables(shards, counts, n, v, states[-1]), _answer_tables(v, states[-1]), "lm-tables")
+        states.append(State(sweep, path, *(float(sum(x[k] for _, x in general(spark, path))) for k in range(4))))
+    return over_chunks(store, _finish(counts, n, v, states[rounds:]), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
 
 
 def general(spark: SparkSession, path: str) -> list:
