@@ -5,8 +5,9 @@ kept; what it returns is written as Parquet to the shared folder and read again
 as the next stage's ``docs``. All but the last return the columns of
 ``documents``.
 
-1. ``language_id``: documents without letters, or whose best language has a
-   posterior under one half, go.
+1. ``language_id``: documents without letters, whose best language has a
+   posterior under one half, or whose n-grams are far less likely in it than
+   those of its training texts (junk, languages not learned), go.
 2. ``simhash``: of each component of near copies the smallest doc_id stays.
 3. ``decontaminate``: documents that hold a window of a benchmark item go.
 4. ``mixing``: documents are replicated to the sources' target weights (a

@@ -118,25 +118,34 @@ def train(rows: DataFrame) -> tuple[list[str], np.ndarray]:
     return langs, np.log(table_ / table_.sum(axis=0)).astype(np.float32)
 
 
-def _scorer(shared):
+def _scorer(shared, fit: bool = False):
+    """With ``fit``, a column tells whether each text fits its predicted language (see ``MARGIN``)."""
+
     def score(batches):
         langs, matrix = shared.value
         flat = np.ascontiguousarray(matrix.T)
+        usual = (np.exp(flat.astype(float)) * flat).sum(axis=1)  # mean log-probability of the n-grams learned from
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            total = np.zeros((len(texts), len(langs)))
+            total, grams = np.zeros((len(texts), len(langs))), np.zeros(len(texts))
             for codes, rows in pieces(texts):
                 for at, row in n_grams(codes, rows):
+                    grams += np.bincount(row, minlength=len(texts))
                     for k in range(len(langs)):
                         total[:, k] += np.bincount(row, weights=flat[k][at], minlength=len(texts))
             known = [bool(langs and t and LETTER.search(t)) for t in texts]
             best = total.argmax(axis=1) if langs else np.zeros(len(texts), dtype=int)
             share = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1) if langs else np.zeros(len(texts))
+            fits = []
+            if fit:
+                n = np.maximum(1, grams)
+                short = usual[best] - total[np.arange(len(texts)), best] / n if langs else np.zeros(len(texts))
+                fits = [pa.array(short <= MARGIN + SHORT / np.sqrt(n), pa.bool_())]
             yield pa.RecordBatch.from_arrays([
                 *(batch.column(i) for i, c in enumerate(batch.schema.names) if c != "text"),
                 pa.array([langs[b] if ok else "und" for b, ok in zip(best, known)], pa.string()),
-                pa.array([float(s) if ok else 0.0 for s, ok in zip(share, known)], pa.float64()),
-            ], [*(c for c in batch.schema.names if c != "text"), "lang_pred", "score"])
+                pa.array([float(s) if ok else 0.0 for s, ok in zip(share, known)], pa.float64()), *fits,
+            ], [*(c for c in batch.schema.names if c != "text"), "lang_pred", "score", *(["fits"] if fit else [])])
 
     return score
 
@@ -156,6 +165,9 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: A text whose best language is less likely than this is rejected, as are those without letters.
 LEAST_SCORE = 0.5
+#: The posterior compares the learned languages only, and is near 1 for any text. So a text is rejected too if its n-grams' mean
+#: log-probability in the predicted language falls short of that of the training texts' n-grams by over MARGIN + SHORT / sqrt(n-grams).
+MARGIN, SHORT = 2.0, 5.0
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
@@ -163,12 +175,12 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     fold = docs.select(docs["text"].alias("text"), docs["lang"].alias("lang"), held_out(docs["doc_id"]).alias("held_out"))
     shared = spark.sparkContext.broadcast(train(fold.filter(~F.col("held_out") & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")))
-    score = _scorer(shared)
+    score = _scorer(shared, fit=True)
 
     def keep(batches):
         for batch in batches:
             found = next(score(iter([batch.select(["text"])])))
-            ok = [p != "und" and s >= LEAST_SCORE for p, s in zip(found.column("lang_pred").to_pylist(), found.column("score").to_pylist())]
+            ok = [p != "und" and s >= LEAST_SCORE and f for p, s, f in zip(*(found.column(c).to_pylist() for c in ("lang_pred", "score", "fits")))]
             yield batch.filter(pa.array(ok, pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
