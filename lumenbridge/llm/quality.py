@@ -118,9 +118,8 @@ def fit(x: np.ndarray, y: np.ndarray) -> tuple[float, list[tuple[Rule, float]]]:
     rng = np.random.default_rng(SEED)
     z, rules = np.full(len(y), prior), {}
     for _ in range(TREES):
-        take = rng.choice(len(y), size=min(len(y), 4000), replace=False)
-        grown, _ = grow(x[take], (y - 1 / (1 + np.exp(-z)))[take], rng)
         residual = y - 1 / (1 + np.exp(-z))
+        grown, _ = grow(x, residual, rng)
         for rule in grown:
             rules.setdefault(rule)
         leaves = [r for r in grown if not any(len(o) > len(r) and o[: len(r)] == r for o in grown)]
