@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -25,9 +26,11 @@ def lower_az(col: Column) -> Column:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder the session names; a temporary one only where none is set, as in local tests."""
+    """The shared folder the session names; a temporary one only where none is set and the master is local, as in tests."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = getattr(spark, "_lumen_scratch", None)
         if path is None:
             path = tempfile.mkdtemp(prefix="lumen-scratch-")
@@ -49,7 +52,20 @@ def materialise(df: DataFrame, label: str, compression: str = "snappy", few_file
         df = df.coalesce(2 * spark.sparkContext.defaultParallelism)
     path = f"{scratch_dir(spark)}/lumen-{label}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.lumen_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialised tables that nothing will read again."""
+    for df in tables:
+        discard_path(df.sparkSession, df.lumen_path)
+
+
+def discard_path(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 #: Bytes of an Arrow batch: bounds what a Python worker and its JVM side hold at once, besides one row.

@@ -1,54 +1,73 @@
 """Token ids as canonical, length-limited Huffman blocks.
 
-Whole texts are encoded with a given tokenizer file. White space always ends a
-piece, so a text's ids are those of its white-space separated chunks in a row;
-each worker keeps the ids of chunks it has met in a table of bounded size, and
-a chunk that may be read otherwise is left to the tokenizer as it stands.
+Whole texts are encoded by a given tokenizer file of the ``tokenizers``
+library. Where the file's steps are the usual ones (NFC, white space, lower
+case, a pattern that finds the pieces, a byte-level model), a worker takes them
+one by one: the file's own pattern finds the pieces of a whole text, and the
+library's model encodes a piece once, as its ids go into a table of bounded
+bytes. The pattern is used so for texts of Latin-1 characters only, and only if
+every one of these characters, in several places, gives the library's own
+result; other texts are cut at blanks and line ends, which no step crosses, and
+their chunks are given to the library as they stand. With a file of any other
+kind the library encodes whole texts.
 
 File format (Parquet rows, so that any store Spark writes to will do, and a
 retried or lost task never leaves half a file):
 
 * ``codebook``: (id, length) of every id that occurs; codes are canonical, so
   lengths alone define them, and no code is over ``LIMIT`` bits (package-merge).
-* ``blocks``: documents in ascending order of doc_id, many to a block. A block
-  is independent: ``first_id`` counts the ids before it, ``payload`` holds the
-  documents' codes, each document from a byte's start, ``doc_ids``,
-  ``doc_tokens`` and ``doc_bytes`` describe them, and ``checkpoints`` give the
-  bit offset of every ``EVERY``-th id of a document, from which decoding can
-  start. All checkpoints of a batch are decoded side by side by table lookup.
+* ``blocks``: documents in order, many to a block. A block is independent:
+  ``part`` and ``first_id``, the ids before it in its part, tell its place,
+  ``payload`` holds the documents' codes, each document from a byte's start,
+  ``doc_ids``, ``doc_tokens`` and ``doc_bytes`` describe them, and
+  ``checkpoints`` give the bit offset of every ``EVERY``-th id of a document,
+  from which decoding can start. All checkpoints of a batch are decoded side by
+  side by table lookup.
+* ``parts``: (part, base), the ids before each part.
+
+The order is by doc_id: a bounded sample, weighted by ids, cuts the documents
+into ranges of even numbers of ids, one part each. ``keep_order`` keeps the
+order of the input instead, for input that is shuffled already: a part is then
+what one task reads, and nothing is exchanged.
 
 Defined cases: a null or empty text has the end id alone; rows that repeat an
-id are all written, ordered by their coded bytes; null doc_ids come last; very
-long texts are a block of their own; an empty table writes no blocks; other
-columns are ignored.
+id are all written, ordered by a hash of their ids, and may fall into several
+parts; null doc_ids come last; very long texts are a block of their own; an
+empty table writes no blocks; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
+import json
 import os
 import re
 import struct
 import sys
 import types
+import unicodedata
 import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+import xxhash
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import TO_LOWER, materialise, scratch_dir, table
+from .common import discard, materialise, scratch_dir, table
+from .exchange import mix64
 
 END_ID, LIMIT, EVERY = 2, 20, 128
-#: Ids to a block and to a range of doc_ids, chunks to a worker's table.
-BLOCK_IDS, RANGE_IDS, TABLE = 200_000, 4_000_000, 500_000
+#: Ids to a block and to a part; the most parts; sampled rows to a part.
+BLOCK_IDS, RANGE_IDS, MAX_RANGES, PER_RANGE = 200_000, 4_000_000, 20_000, 50
+#: Bytes of a worker's table of pieces, and the longest piece in it.
+TABLE_BYTES, LONGEST = 72 << 20, 200
+#: Up to this many parts (16 bytes each) their table is broadcast to readers; beyond, it is joined by shuffle.
+BROADCAST_PARTS = 1_000_000
 VOCABULARY = "word_bpe_49k.json"
-#: Printable ASCII without capitals, and the pieces that the tokenizer's own pattern finds in it.
-PLAIN = re.compile(rb"[!-@\[-~]+")
-PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
-#: A word of small Latin letters, and marks that follow it.
-MARKED = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)[.,;:!?]+")
 
 
 def default_tokenizer() -> str:
@@ -57,8 +76,32 @@ def default_tokenizer() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
-class Encoder(dict):
-    """Chunk to the bytes of its ids (little-endian, unsigned, 32 bits)."""
+class Table(dict):
+    """Text to the bytes of its ids. When full, entries not met since it was last full go."""
+
+    def __init__(self, compute):
+        self.compute, self.bytes, self.old = compute, 0, {}
+
+    def __missing__(self, text: str) -> bytes:
+        found = self.old.get(text)  # the blank, which has no ids, stays so too
+        if found is None:
+            ids = self.compute(text)
+            found = struct.pack(f"<{len(ids)}I", *ids)
+        if len(text) <= LONGEST:
+            self.bytes += len(text) + len(found) + 180  # of two objects and a slot
+            if self.bytes > TABLE_BYTES:
+                self.old, self.bytes = self.copy(), 0
+                self.clear()
+            self[text] = found
+        return found
+
+
+def _characters(kind: str) -> str:
+    return "".join(chr(c) for c in range(256) if unicodedata.category(chr(c))[0] == kind)
+
+
+class Encoder:
+    """A tokenizer file's ids of whole texts."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -66,54 +109,79 @@ class Encoder(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.plain = self.same_as_tokenizer()
-        self[b""] = b""
-
-    def same_as_tokenizer(self) -> bool:
-        """Whether pieces given to the model directly equal what the tokenizer makes of a probe text."""
-        probe = "it's the we'll x1y22 don't (a,b)... 'tis --- #tag; café überß mañana"
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.parts, self.chunks = Table(self.of_piece), Table(self.of_text)
+        self.pattern = self.own_pattern()
+
+    def own_pattern(self) -> re.Pattern | None:
+        """The file's pattern for pieces, its classes limited to Latin-1; None where pieces so found aren't the library's."""
+        steps = json.loads(self.tokenizer.to_str()).get("pre_tokenizer") or {}
+        found = [s["pattern"]["Regex"] for s in steps.get("pretokenizers", [steps]) if s and s.get("type") == "Split" and "Regex" in s["pattern"]]
+        if len(found) != 1 or any(t.normalized or t.lstrip or t.rstrip or t.single_word for t in self.tokenizer.get_added_tokens_decoder().values()):
+            return None
+        classes = {r"\p{L}": _characters("L"), r"\p{N}": _characters("N"), r"\s": "\t-\r \x85\xa0"}
         try:
-            by = [i for c in probe.split(" ") for i in self.pieces(c)]
-        except Exception:  # a model of another kind
-            return False
-        return by == self.tokenizer.encode(probe, add_special_tokens=False).ids
-
-    def pieces(self, chunk: str) -> list[int]:
-        if chunk.isascii():
-            return [t.id for p in PIECES.findall(chunk) for t in self.model.tokenize(p)]
-        out = []
-        for p in re.findall(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+", chunk):
-            out += [t.id for t in self.model.tokenize("".join(map(BYTE_CHARS.__getitem__, p.encode())))]
-        return out
-
-    def __missing__(self, chunk: bytes) -> bytes:
-        marked = self.plain and MARKED.fullmatch(chunk)
-        if marked:  # a word and marks after it are pieces of their own
-            found = self[chunk[: marked.end(1)]] + self[chunk[marked.end(1):]]
-            self[chunk] = found
-            return found
-        if self.plain and PLAIN.fullmatch(chunk):
-            ids = self.pieces(chunk.decode())
-        else:
-            text = chunk.decode("utf-8", "replace")
-            simple = self.plain and re.fullmatch(r"[!-@\[-~ß-öø-ÿ]+", text)
-            ids = self.pieces(text) if simple else self.tokenizer.encode(text, add_special_tokens=False).ids
-        found = struct.pack(f"<{len(ids)}I", *ids)
-        if len(self) > TABLE:
-            self.clear()
-            self[b""] = b""
-        self[chunk] = found
-        return found
-
-    def encode(self, text: bytes | None) -> bytes:
-        """The ids of a whole text, and the end id."""
-        text = text or b""
-        if b"<|" in text:  # may hold a special token, which is found before letters are lowered
-            ids = np.array(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, dtype="<u4").tobytes()
-        else:
-            chunks = (text.translate(TO_LOWER) if self.plain else text).replace(b"\n", b" ").split(b" ")
-            ids = b"".join(map(self.__getitem__, chunks))
-        return ids + END
+            self.pattern = re.compile(re.sub(r"\\p\{[LN]\}|\\s", lambda m: classes[m[0]], found[0]) + "| ")
+            self.parts[" "] = b""
+            probes = [x for c in map(chr, range(256)) for x in (c, f"a{c}b", f"1{c}{c}'{c}!{c}", f"It's{c}we'll '{c}", f" {c} ")]
+            if self.of_latin(probes) != [struct.pack(f"<{len(ids)}I", *ids) for ids in map(self.of_text, probes)]:
+                return None
+        except (re.error, AttributeError, TypeError, KeyError):  # a pattern or model of another kind
+            return None
+        return self.pattern
+
+    def of_text(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def of_piece(self, piece: str) -> list[int]:
+        if not (piece.isascii() and piece.isprintable()):
+            piece = "".join(map(BYTE_CHARS.__getitem__, piece.encode()))
+        return [t.id for t in self.model.tokenize(piece)]
+
+    def of_latin(self, texts: list[str]) -> list[bytes]:
+        """The ids of texts of Latin-1 characters without added tokens.
+
+        The pattern runs over the distinct chunks between ASCII white space, which no piece crosses; a blank stands between two.
+        """
+        lists = pc.ascii_split_whitespace(pc.utf8_lower(pa.array(texts, pa.string())))
+        chunks = lists.flatten().dictionary_encode()
+        n = len(chunks.dictionary)
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), chunks.dictionary), " ")[0].as_py()
+        pieces = list(map(self.parts.__getitem__, self.pattern.findall(joined)))
+        ids = np.frombuffer(b"".join(pieces), dtype="<u4")
+        sizes = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces)) >> 2
+        ends = np.cumsum(sizes)
+        bounds = np.concatenate(([0], ends[sizes == 0], [len(ids)]))  # only the blank between two chunks has no ids
+        at = chunks.indices.to_numpy()
+        size = np.diff(bounds)[at] if n else np.zeros(0, dtype=np.int64)
+        upto = np.cumsum(size)
+        place = np.repeat((bounds[at] - upto + size).astype(np.int32), size) + np.arange(size.sum(), dtype=np.int32)
+        out = ids[place].tobytes()
+        cuts = (4 * np.concatenate(([0], upto))[lists.offsets.to_numpy() - lists.offsets[0].as_py()]).tolist()
+        return [out[i:j] for i, j in zip(cuts, cuts[1:])]
+
+    def is_latin(self, text: str) -> bool:
+        """Whether all characters are of Latin-1, and no added token stands in the text."""
+        if not text.isascii():
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                return False
+        return not any(t in text for t in self.added)
+
+    def encode(self, texts: list[bytes | None]) -> list[bytes]:
+        """The ids of whole texts, each with the end id (little-endian, unsigned, 32 bits)."""
+        whole = [(x or b"").decode("utf-8", "replace") for x in texts]
+        if self.pattern is None:
+            return [struct.pack(f"<{len(ids)}I", *ids) + END for ids in map(self.of_text, whole)]
+        latin = [self.is_latin(x) for x in whole]
+        found = self.of_latin([x if ok else "" for x, ok in zip(whole, latin)])
+        for k, (x, ok) in enumerate(zip(whole, latin)):
+            if not ok:
+                chunks = x.replace("\n", " ").split(" ")
+                narrow = [self.is_latin(c) for c in chunks]
+                found[k] = b"".join([a if ok else self.chunks[c] for a, c, ok in zip(self.of_latin([c if ok else "" for c, ok in zip(chunks, narrow)]), chunks, narrow)])
+        return [x + END for x in found]
 
 
 END = np.array([END_ID], dtype="<u4").tobytes()
@@ -133,21 +201,30 @@ def encoder(path: str) -> Encoder:
 
 
 def _tokenise(path: str):
+    """Each row's ids, a hash of them, a number of its own that spreads rows evenly, and, in a batch's first row, the batch's counts of ids."""
+
     def run(batches):
         encode = encoder(path).encode
+        row = TaskContext.get().partitionId() << 32
         for batch in batches:
-            at = batch.schema.names.index("text")
-            ids = [encode(x) for x in batch.column(at).to_pylist()]
+            if not batch.num_rows:
+                continue
+            ids = encode(batch.column("text").to_pylist())
             wide = np.frombuffer(b"".join(ids), dtype="<u4")
             sizes = np.array([len(x) // 4 for x in ids], dtype=np.int64)
-            narrow = wide.astype("<u2") if not len(wide) or wide.max() < 1 << 16 else wide
+            ties = np.fromiter(map(xxhash.xxh64_intdigest, ids), dtype=np.uint64, count=len(ids))
+            narrow = wide.astype("<u2") if wide.max() < 1 << 16 else wide
             ends = np.cumsum(sizes) * narrow.itemsize
-            blob = narrow.tobytes()
-            keep = [i for i in range(batch.num_columns) if i != at]
+            blob, counts = narrow.tobytes(), np.bincount(wide)
+            at = np.flatnonzero(counts)
+            salts = mix64(np.arange(row, row + len(ids), dtype=np.uint64))
+            row += len(ids)
             yield pa.RecordBatch.from_arrays([
-                *(batch.column(i) for i in keep), pa.array(sizes),
+                batch.column("doc_id"), pa.array(sizes),
                 pa.array([blob[e - s * narrow.itemsize: e] for s, e in zip(sizes.tolist(), ends.tolist())], pa.binary()),
-            ], [*(batch.schema.names[i] for i in keep), "n_tokens", "ids"])
+                pa.array((ties >> np.uint64(1)).astype(np.int64)), pa.array((salts >> np.uint64(1)).astype(np.int64)),
+                pa.array([at.astype("<i8").tobytes() + counts[at].astype("<i8").tobytes(), *[None] * (len(ids) - 1)], pa.binary()),
+            ], ["doc_id", "n_tokens", "ids", "tie", "salt", "counts"])
 
     return run
 
@@ -159,13 +236,11 @@ def _array(ids: bytes, n: int) -> np.ndarray:
 def _count(batches):
     seen = np.zeros(0, dtype=np.int64)
     for batch in batches:
-        for ids, n in zip(batch.column("ids").to_pylist(), batch.column("n_tokens").to_pylist()):
-            got = np.bincount(_array(ids, n))
-            if len(got) > len(seen):
-                got[: len(seen)] += seen
-                seen = got
-            else:
-                seen[: len(got)] += got
+        for counts in batch.column("counts").to_pylist():
+            at, n = np.frombuffer(counts, dtype="<i8").reshape(2, -1)
+            if len(seen) <= at[-1]:
+                seen = np.concatenate((seen, np.zeros(at[-1] + 1 - len(seen), dtype=np.int64)))
+            seen[at] += n
     at = np.flatnonzero(seen)
     yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(seen[at], pa.int64())], ["id", "n"])
 
@@ -245,14 +320,50 @@ class Codebook:
         return out.T[np.arange(len(out)) < sizes[:, None]]
 
 
+Key = tuple[bool, int, int, int]  # null id?, id, hash of the ids, salt
+
+
+def cuts_of(tokens: DataFrame, n: int) -> list[Key]:
+    """Keys that cut the documents, in order of doc_id, into ``n`` ranges of about as many ids each, from a sample of some ``PER_RANGE`` rows to a range."""
+    if n <= 1:
+        return []
+    share = min(1.0, n * PER_RANGE / max(1, tokens.count()))
+    rows = tokens.select("doc_id", "tie", "salt", "n_tokens").filter(F.pmod("salt", F.lit(1 << 30)) < int(share * (1 << 30))).toArrow()
+    null, ids, tie, salt = _keys(rows)
+    order = np.lexsort((salt, tie, ids, null))
+    upto = np.cumsum(rows.column("n_tokens").to_numpy()[order])
+    if not len(upto):
+        return []
+    at = np.unique(np.searchsorted(upto, upto[-1] * np.arange(1, n) / n))
+    return [(bool(null[i]), int(ids[i]), int(tie[i]), int(salt[i])) for i in order[np.minimum(at, len(order) - 1)]]
+
+
+def _keys(rows) -> tuple[np.ndarray, ...]:
+    ids = rows.column("doc_id")
+    return ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(), rows.column("tie").to_numpy(), rows.column("salt").to_numpy()
+
+
+def parts_of(rows, cuts: list[Key]) -> np.ndarray:
+    """Number of the range of each row: of the cuts at or below its key."""
+    null, ids, tie, salt = _keys(rows)
+    known = np.array([c[1] for c in cuts if not c[0]], dtype=np.int64)
+    low, high = np.searchsorted(known, ids, side="left"), np.searchsorted(known, ids, side="right")
+    out = np.where(null, len(known), low)
+    close = np.flatnonzero((low < high) & ~null | null & (len(known) < len(cuts)))  # rows that share their id with a cut
+    for i in close.tolist():
+        out[i] = bisect.bisect_right(cuts, (bool(null[i]), int(ids[i]), int(tie[i]), int(salt[i])))
+    return out.astype(np.int32)
+
+
 def _pack(shared):
-    """Codes of single documents, before they are dealt to their ranges."""
+    """Codes of single documents, and the part of each; without cuts, what a task reads is a part."""
 
     def run(batches):
-        book = Codebook(*shared.value)
+        ids, lengths, cuts = shared.value
+        book = Codebook(ids, lengths)
         for batch in batches:
             n = batch.column("n_tokens").to_pylist()
-            at, size, docs, payloads, marks = 0, 0, [], [], []
+            size, docs, payloads, marks = 0, [], [], []
             for ids, k in zip(batch.column("ids").to_pylist(), n):
                 docs.append(_array(ids, k))
                 size += k
@@ -261,78 +372,75 @@ def _pack(shared):
                     payloads, marks, docs, size = payloads + p, marks + m, [], 0
             p, m = book.encode(docs)
             payloads, marks = payloads + p, marks + m
-            keep = [i for i, c in enumerate(batch.schema.names) if c != "ids"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(payloads, pa.binary()), pa.array([m.tobytes() for m in marks], pa.binary())], [*(batch.schema.names[i] for i in keep), "payload", "marks"])
+            part = np.full(len(n), TaskContext.get().partitionId(), dtype=np.int32) if cuts is None else parts_of(batch, cuts)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(part), *(batch.column(c) for c in ("doc_id", "tie", "salt", "n_tokens")), pa.array(payloads, pa.binary()), pa.array([m.tobytes() for m in marks], pa.binary())], PACKED_NAMES)
 
     return run
 
 
+PACKED = "part int, doc_id long, tie long, salt long, n_tokens long, payload binary, marks binary"
+PACKED_NAMES = [c.split()[0] for c in PACKED.split(", ")]
 BLOCKS = "part int, first_id long, n_tokens long, doc_ids binary, doc_null binary, doc_tokens binary, doc_bytes binary, payload binary, checkpoints binary"
 _BLOCK_TYPES = [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 6]
 _BLOCK_NAMES = [c.split()[0] for c in BLOCKS.split(", ")]
 
 
-def _write(bases: dict[int, int]):
-    """Documents in order to blocks."""
-
-    def run(batches):
-        held: list[tuple] = []
-        part, first, size = None, 0, 0
+def _write(batches):
+    """Documents in order to blocks; ``first_id`` counts from the part's beginning."""
+    held: list[tuple] = []
+    part, first, size = None, 0, 0
 
-        def block():
-            sizes = np.array([h[1] for h in held], dtype="<i8")
-            bytes_ = np.array([len(h[2]) for h in held], dtype="<i8")
-            base = (np.cumsum(bytes_) - bytes_) * 8
-            marks = np.concatenate([np.frombuffer(h[3], dtype="<u4").astype("<i8") + b for h, b in zip(held, base.tolist())])
-            row = [part, first, int(sizes.sum()), np.array([h[0] or 0 for h in held], dtype="<i8").tobytes(), bytes(h[0] is None for h in held), sizes.tobytes(), bytes_.tobytes(), b"".join(h[2] for h in held), marks.tobytes()]
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, _BLOCK_TYPES)], _BLOCK_NAMES)
+    def block():
+        sizes = np.array([h[1] for h in held], dtype="<i8")
+        bytes_ = np.array([len(h[2]) for h in held], dtype="<i8")
+        base = (np.cumsum(bytes_) - bytes_) * 8
+        marks = np.concatenate([np.frombuffer(h[3], dtype="<u4").astype("<i8") + b for h, b in zip(held, base.tolist())])
+        row = [part, first, int(sizes.sum()), np.array([h[0] or 0 for h in held], dtype="<i8").tobytes(), bytes(h[0] is None for h in held), sizes.tobytes(), bytes_.tobytes(), b"".join(h[2] for h in held), marks.tobytes()]
+        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, _BLOCK_TYPES)], _BLOCK_NAMES)
 
-        for batch in batches:
-            for p, doc, n, payload, marks in zip(*(batch.column(c).to_pylist() for c in ("part", "doc_id", "n_tokens", "payload", "marks"))):
-                if held and (p != part or size + n > BLOCK_IDS):
-                    yield block()
-                    first, held, size = first + size, [], 0
-                if p != part:
-                    part, first = p, bases[p]
-                held.append((doc, n, payload, marks))
-                size += n
-        if held:
-            yield block()
-
-    return run
-
-
-def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> None:
-    """Encode every row and write ``path``/codebook and ``path``/blocks."""
+    for batch in batches:
+        for p, doc, n, payload, marks in zip(*(batch.column(c).to_pylist() for c in ("part", "doc_id", "n_tokens", "payload", "marks"))):
+            if held and (p != part or size + n > BLOCK_IDS):
+                yield block()
+                first, held, size = first + size, [], 0
+            if p != part:
+                part, first = p, 0
+            held.append((doc, n, payload, marks))
+            size += n
+    if held:
+        yield block()
+
+
+def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, keep_order: bool = False) -> None:
+    """Encode every row and write ``path``/codebook, ``path``/blocks and ``path``/parts."""
     spark = docs.sparkSession
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("binary").alias("text"))
-    tokens = materialise(rows.mapInArrow(_tokenise(tokenizer or default_tokenizer()), "doc_id long, n_tokens long, ids binary"), "token-ids", "zstd")
-    counts = tokens.select("ids", "n_tokens").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    tokens = materialise(rows.mapInArrow(_tokenise(tokenizer or default_tokenizer()), "doc_id long, n_tokens long, ids binary, tie long, salt long, counts binary"), "token-ids", "zstd")
+    counts = tokens.select("counts").filter(F.col("counts").isNotNull()).mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     found = sorted((r[0], r[1]) for r in counts.collect())  # one row per id of the vocabulary
     ids, lengths = np.array([f[0] for f in found], dtype=np.int64), code_lengths(np.array([f[1] for f in found], dtype=np.int64))
     spark.createDataFrame(list(zip(ids.tolist(), lengths.tolist())), "id long, length long").coalesce(1).write.parquet(f"{path}/codebook")
-    total = int(sum(f[1] for f in found))
-    n = max(1, -(-total // RANGE_IDS))
-    cuts = sorted(set(tokens.select(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 10 * n).alias("c")).first()[0] or [])) if n > 1 else []
-    part = F.lit(len(cuts))
-    if cuts:
-        below = F.size(F.filter(F.lit(cuts), lambda c: c < F.col("doc_id")))
-        part = F.when(F.col("doc_id").isNull(), len(cuts)).otherwise(below)
-    sized = tokens.withColumn("part", part.cast("int"))
-    bases, before = {}, 0
-    for p, k in sorted((r[0], r[1]) for r in sized.groupBy("part").agg(F.sum("n_tokens")).collect()):  # one row per range
-        bases[p], before = before, before + k
-    shared = spark.sparkContext.broadcast((ids, lengths))
-    packed = sized.mapInArrow(_pack(shared), "doc_id long, n_tokens long, part int, payload binary, marks binary")
-    ordered = packed.repartition(n, "part").sortWithinPartitions("part", F.asc_nulls_last("doc_id"), "payload")
-    ordered.mapInArrow(_write(bases), BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
+    n = max(1, min(MAX_RANGES, -(-int(sum(f[1] for f in found)) // RANGE_IDS)))
+    cuts = None if keep_order else cuts_of(tokens, n)
+    pack, rows = _pack(spark.sparkContext.broadcast((ids, lengths, cuts))), tokens.drop("counts")
+    if keep_order:
+        blocks = rows.mapInArrow(lambda batches: _write(pack(batches)), BLOCKS)
+    else:
+        packed = rows.mapInArrow(pack, PACKED).repartitionById(n, F.col("part"))
+        blocks = packed.sortWithinPartitions("part", F.asc_nulls_last("doc_id"), "tie", "salt").mapInArrow(_write, BLOCKS)
+    blocks.write.option("compression", "none").parquet(f"{path}/blocks")
+    discard(tokens)
+    parts = spark.read.schema(BLOCKS).parquet(f"{path}/blocks").groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    base = F.sum("n").over(Window.orderBy("part")) - F.col("n")  # one row to a part
+    parts.select("part", base.alias("base")).write.parquet(f"{path}/parts")
 
 
 def _read(shared):
     def run(batches):
         book = Codebook(*shared.value)
         for batch in batches:
-            doc_ids, starts, counts, sums, extra = [], [], [], [], []
+            doc_ids, starts, counts, extra = [], [], [], []
             for first, ids, null, tokens, payload, marks in zip(*(batch.column(c).to_pylist() for c in ("first_id", "doc_ids", "doc_null", "doc_tokens", "payload", "checkpoints"))):
                 n = np.frombuffer(tokens, dtype="<i8")
                 lanes = -(-n // EVERY)
@@ -343,9 +451,8 @@ def _read(shared):
                 doc_ids += [None if x else d for d, x in zip(np.frombuffer(ids, dtype="<i8").tolist(), null)]
                 starts += (first + end - n).tolist()
                 counts += n.tolist()
-                extra += [got[e - k: e] for k, e in zip(n.tolist(), end.tolist())]
-            sums = [zlib.crc32(x.tobytes()) for x in extra]
-            yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                extra += [zlib.crc32(got[e - k: e].tobytes()) for k, e in zip(n.tolist(), end.tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), pa.array(extra, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return run
 
@@ -354,14 +461,17 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, decoded from the files at ``path``."""
     book = spark.read.parquet(f"{path}/codebook").orderBy("id").toArrow()
     shared = spark.sparkContext.broadcast((book.column("id").to_numpy(), book.column("length").to_numpy()))
-    return spark.read.parquet(f"{path}/blocks").mapInArrow(_read(shared), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    parts = spark.read.parquet(f"{path}/parts")
+    few = parts.count() <= BROADCAST_PARTS
+    blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks").join(F.broadcast(parts) if few else parts, "part")
+    return blocks.withColumn("first_id", F.col("first_id") + F.col("base")).mapInArrow(_read(shared), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def token_output(docs: DataFrame, path: str | None = None) -> DataFrame:
+def token_output(docs: DataFrame, path: str | None = None, keep_order: bool = False) -> DataFrame:
     """Write ``docs`` in the file format (to the shared folder unless ``path`` is given), and read the digests back."""
     spark = docs.sparkSession
     path = path or f"{scratch_dir(spark)}/lumen-tokens-{uuid.uuid4().hex}"
-    write_tokens(docs, path)
+    write_tokens(docs, path, keep_order=keep_order)
     return read_digests(spark, path)
 
 
