@@ -25,8 +25,10 @@ each with its own keys' totals, so nothing is collected or broadcast but a few
 totals. Random numbers are hashes of (bigram, sweep, customer), so any chunk
 that holds a bigram draws the same seating for it, in any attempt.
 
-Words have 64-bit hashes and bigrams 48-bit ones; bigrams that collide share
-their counts, which changes no sum by more than their share.
+Words and bigrams are told apart by 64-bit hashes; were two to collide, they
+would share their counts. A bigram is drawn by the first chunk that holds it:
+what the sweeps need of these is kept in a table of its own, so only the first
+and the last pass read whole chunks.
 
 Defined cases: a null or empty text is one end token; repeated rows count, and
 score, once each; null ids hash as an empty text; without training documents
@@ -42,11 +44,13 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import TO_LOWER, table
-from .exchange import answers_of, chunk_store, exchange, load, mix64, over_chunks, shards_for, to_shards
+from .common import TO_LOWER, discard, discard_path, materialise, table
+from .exchange import STORE, answers_of, chunk_store, dump, exchange, load, mix64, over_chunks, shards_for, to_shards
 
 FOLDS, OUT = 7, 2
 #: Discount and strength of contexts and of the parent.
@@ -61,6 +65,9 @@ CONTEXT_STREAM, WORD_STREAM, ROOT_STREAM = 10_000, 20_000, 30_000
 ROOT = np.array([0x2545F4914F6CDD1D], dtype=np.uint64)
 #: Hashes of the end token, and of the context of a document's first token.
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
+#: Bits of a bigram's key that are sent as they are; the ones above are sorted and sent as differences.
+LOW = 24
+LOW_BITS, LOW_MASK = np.uint64(LOW), np.uint64((1 << LOW) - 1)
 
 
 def held_out_id(doc_id) -> bool:
@@ -83,27 +90,37 @@ def unpack_ints(packed: tuple) -> np.ndarray:
 
 
 def _pack(ids, texts):
-    number: dict[bytes, int] = {}
-    docs = []
-    for text in texts:
-        words = text.translate(TO_LOWER).split()
-        docs.append(np.fromiter((number.setdefault(w, len(number)) for w in words), dtype=np.int64, count=len(words)))
-    lengths = np.array([len(d) + 1 for d in docs], dtype=np.int64)
-    tokens = np.empty(int(lengths.sum()), dtype=np.int64)
-    last = np.cumsum(lengths) - 1
+    lists = pc.ascii_split_whitespace(pa.array([t.translate(TO_LOWER) for t in texts], pa.binary()).view(pa.string()))
+    offsets, found = lists.offsets.to_numpy(), lists.flatten()
+    some = pc.greater(pc.binary_length(found), 0)  # white space at an end gives an empty one
+    upto = np.concatenate(([0], np.cumsum(some.to_numpy(zero_copy_only=False))))
+    words = found.filter(some).dictionary_encode()
+    counts = np.diff(upto[offsets - offsets[0]])
+    lengths = counts + 1
+    distinct = words.dictionary.view(pa.binary()).to_pylist()
+    tokens = np.full(int(lengths.sum()), len(distinct), dtype=np.int64)
     body = np.ones(len(tokens), dtype=bool)
-    body[last] = False
-    tokens[body] = np.concatenate(docs) if docs else 0
-    tokens[last] = len(number)
-    hashes = np.append(np.fromiter(map(xxhash.xxh64_intdigest, number), dtype=np.uint64, count=len(number)), END)
+    body[np.cumsum(lengths) - 1] = False
+    tokens[body] = words.indices.to_numpy()
+    hashes = np.append(np.fromiter(map(xxhash.xxh64_intdigest, distinct), dtype=np.uint64, count=len(distinct)), END)
     by = np.argsort(-np.bincount(tokens, minlength=len(hashes)), kind="stable")  # frequent words get small numbers
     new = np.empty(len(by), dtype=np.int64)
     new[by] = np.arange(len(by))
     return len(tokens), ([*ids], lengths, pack_ints(new[tokens]), hashes[by])
 
 
+def sorted_places(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Non-negative codes in order, and their places; both in one integer where they fit, as that sorts faster."""
+    bits = len(codes).bit_length()
+    if int(codes.max(initial=0)).bit_length() + bits <= 63:
+        both = np.sort(codes << bits | np.arange(len(codes)))
+        return both >> bits, both & ((1 << bits) - 1)
+    order = np.argsort(codes, kind="stable")
+    return codes[order], order
+
+
 class Chunk:
-    """A chunk's words and bigrams, each in the order of their keys."""
+    """A chunk's words in the order of their hashes, and its bigrams in the order of their words; ``by`` puts bigrams in the order of their keys."""
 
     def __init__(self, packed):
         self.ids, self.lengths, tokens, hashes = packed
@@ -119,44 +136,64 @@ class Chunk:
         before = np.empty_like(self.token)
         before[1:] = self.token[:-1]
         before[np.cumsum(self.lengths) - self.lengths] = self.n  # the start
-        key = mix64(np.append(self.words, START)[before] * np.uint64(0x9E3779B97F4A7C15) + self.words[self.token]) >> np.uint64(16)
-        self.key, first, self.bigram = np.unique(key, return_index=True, return_inverse=True)
-        self.u, self.w = before[first], self.token[first]
+        codes, places = sorted_places(before * (self.n + 1) + self.token)
+        new = np.concatenate(([True], codes[1:] != codes[:-1]))
+        self.bigram = np.empty_like(places)
+        self.bigram[places] = np.cumsum(new) - 1
+        self.u, self.w = np.divmod(codes[new], self.n + 1)
+        self.key = keys_of(self.words, self.u, self.w)
+
+    @functools.cached_property
+    def by(self) -> np.ndarray:
+        if len(self.key) >> LOW:
+            return np.argsort(self.key, kind="stable")
+        return (np.sort(self.key >> LOW_BITS << LOW_BITS | np.arange(len(self.key), dtype=np.uint64)) & LOW_MASK).astype(np.int64)
 
     def slices(self, keys: np.ndarray, shards: int) -> np.ndarray:
         return np.searchsorted(to_shards(keys, shards), np.arange(shards + 1))
 
 
+def keys_of(words: np.ndarray, u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Hashes of bigrams from their words' places."""
+    return mix64(np.append(words, START)[u] * np.uint64(0x9E3779B97F4A7C15) + words[w])
+
+
 def _ask_counts(shards: int):
     def ask(_, packed):
         c = Chunk(packed)
         words = np.bincount(c.token[c.train], minlength=c.n)
-        pairs = np.bincount(c.bigram[c.train], minlength=len(c.key))
-        a, b = c.slices(c.words, shards), c.slices(c.key << np.uint64(16), shards)
+        pairs = np.bincount(c.bigram[c.train], minlength=len(c.key))[c.by]
+        key = c.key[c.by]
+        a, b = c.slices(c.words, shards), c.slices(key, shards)
         for k in range(shards):
             i, j = slice(a[k], a[k + 1]), slice(b[k], b[k + 1])
-            yield k, (c.words[i], pack_ints(words[i]), pack_ints(np.diff(c.key[j], prepend=np.uint64(0))), pack_ints(pairs[j]))
+            yield k, (c.words[i], pack_ints(words[i]), pack_ints(np.diff(key[j] >> LOW_BITS, prepend=np.uint64(0))), pack_ints(key[j] & LOW_MASK), pack_ints(pairs[j]))
 
     return ask
 
 
 def _totals(keys: list[np.ndarray], values: list[np.ndarray]):
-    """Distinct keys, their totals, where each row's key is, and the first row of each."""
-    every, first, which = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-    return every, np.bincount(which, weights=np.concatenate(values), minlength=len(every)), which, first
+    """Distinct keys, their totals, where each row's key is, and the first row of each. Runs of sorted keys are merged."""
+    every = np.concatenate(keys)
+    order = np.argsort(every, kind="stable")
+    every = every[order]
+    new = np.append(True, every[1:] != every[:-1])[: len(every)]
+    which = np.empty(len(every), dtype=np.int64)
+    which[order] = np.cumsum(new) - 1
+    return every[new], np.bincount(which, weights=np.concatenate(values), minlength=int(new.sum())), which, order[new]
 
 
 def _answer_counts(asked):
     _, total, which, _ = _totals([q[0] for _, q in asked], [unpack_ints(q[1]).astype(float) for _, q in asked])
     known = int((total > 0).sum())
     words = np.split(total[which], np.cumsum([len(q[0]) for _, q in asked])[:-1])
-    keys = [np.cumsum(unpack_ints(q[2])) for _, q in asked]
-    _, total, which, first = _totals(keys, [unpack_ints(q[3]).astype(float) for _, q in asked])
+    keys = [np.cumsum(unpack_ints(q[2]), dtype=np.uint64) << LOW_BITS | unpack_ints(q[3]) for _, q in asked]
+    _, total, which, first = _totals(keys, [unpack_ints(q[4]).astype(float) for _, q in asked])
     owner = np.zeros(len(which), dtype=bool)
     owner[first] = True
     cut = np.cumsum([len(k) for k in keys])[:-1]
     pairs, owners = np.split(total[which], cut), np.split(owner, cut)
-    return [(-1, known), *((chunk, (pack_ints(a), pack_ints(b), np.packbits(o))) for (chunk, _), a, b, o in zip(asked, words, pairs, owners))]
+    return [(-1, (float(known),)), *((chunk, (pack_ints(a), pack_ints(b), np.packbits(o))) for (chunk, _), a, b, o in zip(asked, words, pairs, owners))]
 
 
 def _uniform(key: np.ndarray, stream: int, number: int) -> np.ndarray:
@@ -310,21 +347,13 @@ class State(NamedTuple):
     gammas: float = 0.0
 
 
-class Model:
-    """What a chunk knows of the model after some sweeps."""
+class Words:
+    """What a chunk knows of its words: their hashes, counts, and how often each is a context (the start last)."""
 
-    def __init__(self, chunk: int, packed, counts: str, n: float, v: float):
-        self.c = c = Chunk(packed)
-        self.chunk = chunk
-        got = [x for _, x in answers_of(counts, chunk)]
-        self.n, self.v = n, v
-        self.count = np.concatenate([unpack_ints(x[0]) for x in got]).astype(float)
-        self.pairs = np.concatenate([unpack_ints(x[1]) for x in got]).astype(float)
-        sizes = [x[1][0] for x in got]
-        self.owner = np.concatenate([np.unpackbits(x[2], count=s).astype(bool) for x, s in zip(got, sizes)])
-        end = float(self.count[np.searchsorted(c.words, END)])
-        self.context = np.append(self.count, end)  # each document has one start and one end
-        self.base = (self.count + 1) / (n + v + 1)
+    def __init__(self, chunk: int, words: np.ndarray, count: np.ndarray, n: float, v: float):
+        self.chunk, self.words, self.count, self.n, self.v = chunk, words, count, n, v
+        self.context = np.append(count, float(count[np.searchsorted(words, END)]))  # each document has one start and one end
+        self.base = (count + 1) / (n + v + 1)
 
     def parent(self, state: State):
         """After a sweep: tables of each context, the parent's probability of each word, and the weights that the next sweep draws for both."""
@@ -337,34 +366,56 @@ class Model:
         g = np.where(self.count > 0, (1 - UNKNOWN) / max(1.0, self.v), UNKNOWN if self.v else 1.0)
         free = ROOT_STRENGTH + ROOT_DISCOUNT * state.own
         p = (customers - ROOT_DISCOUNT * own + free * g) / (ROOT_STRENGTH + state.customers)
-        drawn = DISCOUNT * _gamma(STRENGTH / DISCOUNT + tables, np.append(self.c.words, START), CONTEXT_STREAM + state.sweep)
+        drawn = DISCOUNT * _gamma(STRENGTH / DISCOUNT + tables, np.append(self.words, START), CONTEXT_STREAM + state.sweep)
         rest = _gamma(np.array([free]), ROOT, WORD_STREAM + state.sweep)[0]
-        q = (_gamma(customers - ROOT_DISCOUNT * own, self.c.words, WORD_STREAM + state.sweep) + rest * g) / (state.gammas + rest)
+        q = (_gamma(customers - ROOT_DISCOUNT * own, self.words, WORD_STREAM + state.sweep) + rest * g) / (state.gammas + rest)
         return tables, p, drawn, q
 
-    def tables(self, state: State, drawn, q, of: np.ndarray) -> np.ndarray:
-        """Tables of the bigrams ``of`` (a mask) in the sweep after ``state``."""
-        at = np.flatnonzero(of & (self.pairs > 0))
-        weight = drawn[self.c.u[at]] * q[self.c.w[at]]
-        out = np.zeros(len(self.pairs))
-        if state.path is None:
-            out[at] = np.maximum(1, np.round(seat(self.pairs[at], weight, DISCOUNT, self.c.key[at], 0) / SWEEPS))
-        else:
-            out[at] = gibbs_tables(self.pairs[at], weight, DISCOUNT, self.c.key[at], SWEEPS + state.sweep)
-        return out
-
-
-def _ask_tables(shards: int, counts: str, n: float, v: float, last: State):
-    def ask(chunk, packed):
-        m = Model(chunk, packed, counts, n, v)
-        c = m.c
-        t = m.tables(last, *m.parent(last)[2:], m.owner)
-        opened = np.bincount(c.u, weights=t, minlength=c.n + 1)
-        sent = np.bincount(c.w, weights=t, minlength=c.n)
-        a = c.slices(c.words, shards)
+
+def tables_of(state: State, drawn: np.ndarray, q: np.ndarray, u: np.ndarray, w: np.ndarray, pairs: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Tables of bigrams (``pairs`` customers each, 1 at least) in the sweep after ``state``."""
+    weight = drawn[u] * q[w]
+    if state.path is None:
+        return np.maximum(1, np.round(seat(pairs, weight, DISCOUNT, key, 0) / SWEEPS))
+    return gibbs_tables(pairs, weight, DISCOUNT, key, SWEEPS + state.sweep)
+
+
+def counted(counts: str, chunk: int, c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Totals of the chunk's words and bigrams, and which bigrams it draws."""
+    got = [x for _, x in answers_of(counts, chunk)]
+    count = np.concatenate([unpack_ints(x[0]) for x in got]).astype(float)
+    pairs, owner = np.empty(len(c.key)), np.empty(len(c.key), dtype=bool)
+    pairs[c.by] = np.concatenate([unpack_ints(x[1]) for x in got])
+    owner[c.by] = np.concatenate([np.unpackbits(x[2], count=x[1][0]).astype(bool) for x in got])
+    return count, pairs, owner
+
+
+def _seats(counts: str):
+    """Of each chunk: its words with their totals, and the bigrams that it draws with theirs."""
+
+    def work(chunk, packed):
+        c = Chunk(packed)
+        count, pairs, owner = counted(counts, chunk, c)
+        own = np.flatnonzero(owner & (pairs > 0))
+        u = np.diff(c.u[own], prepend=0)
+        kept = dump((c.words, pack_ints(count), pack_ints(u), pack_ints(c.w[own]), pack_ints(pairs[own])))
+        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([len(own)], pa.int64()), pa.array([kept], pa.binary())], ["chunk", "size", "payload"])
+
+    return work
+
+
+def _ask_tables(shards: int, n: float, v: float, last: State):
+    def ask(chunk, kept):
+        words, count, u, w, pairs = kept
+        m = Words(chunk, words, unpack_ints(count).astype(float), n, v)
+        u, w, pairs = np.cumsum(unpack_ints(u)).astype(np.int64), unpack_ints(w).astype(np.int64), unpack_ints(pairs).astype(float)
+        t = tables_of(last, *m.parent(last)[2:], u, w, pairs, keys_of(words, u, w))
+        opened = np.bincount(u, weights=t, minlength=len(words) + 1)
+        sent = np.bincount(w, weights=t, minlength=len(words))
+        a = np.searchsorted(to_shards(words, shards), np.arange(shards + 1))
         for k in range(shards):
             i = slice(a[k], a[k + 1])
-            yield k, (c.words[i], pack_ints(opened[:-1][i]), pack_ints(sent[i]), float(opened[-1]) if k == 0 else 0.0)
+            yield k, (words[i], pack_ints(opened[:-1][i]), pack_ints(sent[i]), float(opened[-1]) if k == 0 else 0.0)
 
     return ask
 
@@ -382,25 +433,32 @@ def _answer_tables(v: float, last: State):
         gammas = _gamma(sent - ROOT_DISCOUNT * own, every, WORD_STREAM + last.sweep + 1).sum()
         cut = np.cumsum([len(k) for k in keys])[:-1]
         parts = [np.split(x[which], cut) for x in (opened, sent, own)]
-        return [(-1, (float(sent.sum()), float(own.sum()), sum(q[3] for _, q in asked), float(gammas))), *((chunk, tuple(pack_ints(p[k]) for p in parts)) for k, (chunk, _) in enumerate(asked))]
+        return [(-1, (float(sent.sum()), float(own.sum()), float(sum(q[3] for _, q in asked)), float(gammas))), *((chunk, tuple(pack_ints(p[k]) for p in parts)) for k, (chunk, _) in enumerate(asked))]
 
     return answer
 
 
+def predictive(m: Words, u: np.ndarray, w: np.ndarray, pairs: np.ndarray, key: np.ndarray, states: list[State]) -> np.ndarray:
+    """Probability of word ``w`` after word ``u``, averaged over the sweeps that led from each state to the next."""
+    some = np.flatnonzero(pairs > 0)
+    prob, seated = np.zeros(len(pairs)), np.zeros(len(pairs))
+    before = m.parent(states[0])
+    for last, state in zip(states, states[1:]):
+        seated[some] = tables_of(last, *before[2:], u[some], w[some], pairs[some], key[some])
+        tables, p, *_ = before = m.parent(state)
+        one = (pairs - DISCOUNT * seated + (STRENGTH + DISCOUNT * tables[u]) * p[w]) / (STRENGTH + m.context[u])
+        prob += np.where(m.context[u] > 0, one, p[w]) / (len(states) - 1)
+    return prob
+
+
 def _finish(counts: str, n: float, v: float, states: list[State]):
     def work(chunk, packed):
-        m = Model(chunk, packed, counts, n, v)
-        c = m.c
-        u, w = c.u, c.w
-        prob = np.zeros(len(m.pairs))
-        before = m.parent(states[0])
-        for last, state in zip(states, states[1:]):
-            seated = m.tables(last, *before[2:], np.ones(len(m.pairs), dtype=bool))
-            tables, p, *_ = before = m.parent(state)
-            one = (m.pairs - DISCOUNT * seated + (STRENGTH + DISCOUNT * tables[u]) * p[w]) / (STRENGTH + m.context[u])
-            prob += np.where(m.context[u] > 0, one, p[w]) / (len(states) - 1)
+        c = Chunk(packed)
+        count, pairs, _ = counted(counts, chunk, c)
+        m = Words(chunk, c.words, count, n, v)
+        prob = predictive(m, c.u, c.w, pairs, c.key, states)
         docs = len(c.ids)
-        known = np.bincount(c.doc, weights=m.count[c.token] > 0, minlength=docs).astype(np.int64)
+        known = np.bincount(c.doc, weights=count[c.token] > 0, minlength=docs).astype(np.int64)
         base = np.bincount(c.doc, weights=np.log10(m.base)[c.token], minlength=docs)
         score = np.bincount(c.doc, weights=np.log10(prob)[c.bigram], minlength=docs)
         yield pa.RecordBatch.from_arrays([
@@ -424,20 +482,30 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     n = float(sum(r[0] for r in over_chunks(store, trained, "n long").groupBy().sum("n").collect() if r[0] is not None))
     counts = exchange(store, _ask_counts(shards), _answer_counts, "lm-counts")
-    v = float(sum(x for _, x in general(spark, counts)))
+    v = summed(spark, counts, 1)[0]
+    seats = materialise(over_chunks(store, _seats(counts), STORE), "lm-seats", "zstd")
     states = [State(0)]
     for sweep in range(1, rounds + SWEEPS + 1):
-        path = exchange(store, _ask_tables(shards, counts, n, v, states[-1]), _answer_tables(v, states[-1]), "lm-tables")
-        states.append(State(sweep, path, *(float(sum(x[k] for _, x in general(spark, path))) for k in range(4))))
+        path = exchange(seats, _ask_tables(shards, n, v, states[-1]), _answer_tables(v, states[-1]), "lm-tables")
+        states.append(State(sweep, path, *summed(spark, path, 4)))
+        if 1 < sweep <= rounds:  # nothing reads the burn-in's tables but the next sweep
+            discard_path(spark, states[sweep - 1].path)
+    discard(seats)
     return over_chunks(store, _finish(counts, n, v, states[rounds:]), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
 
 
-def general(spark: SparkSession, path: str) -> list:
-    """What the shards of an exchange say of all: one small row of each."""
+def summed(spark: SparkSession, path: str, size: int) -> list[float]:
+    """Sums of the ``size`` numbers that each shard of an exchange says of all."""
     there = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/slot=*"))
     if not len(there):  # nothing was asked
-        return []
-    return [(r[0], load(r[1])) for r in spark.read.parquet(path).filter("chunk = -1").select("shard", "blob").collect()]
+        return [0.0] * size
+
+    def opened(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([list(load(x)) for x in batch.column("blob").to_pylist()], pa.list_(pa.float64()))], ["x"])
+
+    said = spark.read.parquet(path).filter("chunk = -1").select("blob").mapInArrow(opened, "x array<double>")
+    return list(said.agg(*[F.coalesce(F.sum(F.col("x")[k]), F.lit(0.0)).alias(f"x{k}") for k in range(size)]).first())
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
