@@ -9,8 +9,10 @@ kept rules are compiled into one Spark column expression that scores all rows.
 Defined cases: null and empty texts have statistics of zero and are scored by
 the same rules; without labelled rows every score is 0.5, with one label only
 it is the smoothed prior; a document labelled twice counts with its smallest
-label, null labels are ignored; repeated rows get equal scores; other columns
-are ignored; an empty table gives no rows.
+label, null labels are ignored; of rows that repeat a labelled id, the one with
+the smallest statistics is learned from, and each is scored; very long texts
+are measured whole, as are repeated rows, which get equal scores; other columns
+are ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -161,9 +163,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[flo
     )
     # `chosen` has at most `sample` rows
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
-    found = with_statistics(rows).toArrow().sort_by([("doc_id", "ascending"), ("log_bytes", "ascending")])
-    if found.num_rows > 4 * sample:
-        raise ValueError("ids of labelled documents repeat too often")
+    one = with_statistics(rows).groupBy("doc_id").agg(F.min(F.struct("quality", *STATS)).alias("row"))  # at most `sample` rows, however often ids repeat
+    found = one.select("doc_id", "row.*").toArrow().sort_by("doc_id")
     x = np.stack([found.column(s).to_numpy() for s in STATS], axis=1) if found.num_rows else np.zeros((0, len(STATS)))
     return fit(x, found.column("quality").to_numpy().astype(float))
 
