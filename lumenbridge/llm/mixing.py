@@ -4,17 +4,21 @@ Each source has a mean repetition rate ``target weight * all rows / its rows``.
 A document's copies are the inverse of that Poisson distribution at a uniform
 number hashed from the seed and its id, so a rerun or a retried task gives the
 same copies. Copies are exploded in place and put in a global random order by
-a range sort on another hash.
+another hash. As that hash is uniform, its first digits tell the partition of
+each copy: the global sort needs no sampling pass, and every text moves once.
 
 Target weights default to ``rows ** alpha``, which lifts small sources and
-lowers large ones. Sources number few: up to ``MAX_BROADCAST_SOURCES`` the
-checked table of rates is broadcast; beyond, it is joined by shuffle.
+lowers large ones. The table of the sources' distribution functions is
+broadcast if it has at most ``BROADCAST_CELLS`` numbers (8 bytes each); beyond,
+it is joined by shuffle, and AQE splits the partitions of a hot source.
 
 Defined cases: a null source is a source of its own; null or empty texts are
-replicated like others; repeated rows with the same id get the same number of
-copies each; a weight of zero, or a source that an explicit table leaves out,
-gives no copies; an empty table gives no rows. Columns of the input are kept
-except those named like the added ones, which are replaced.
+replicated like others, very long ones whole; a null id counts as the MD5 of
+its text; repeated rows with the same id get the same number of copies each,
+and such copies have the same ``shuffle_key`` and stand side by side in any
+order; a weight of zero, or a source that an explicit table leaves out, gives
+no copies; an empty table gives no rows. Columns of the input are kept except
+those named like the added ones, which are replaced.
 """
 
 from __future__ import annotations
@@ -22,10 +26,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import shuffle_partitions, table
 
 ALPHA, SEED = 0.5, 20
-MAX_BROADCAST_SOURCES = 10_000
+#: Numbers in the broadcast table of distribution functions: 16 MB.
+BROADCAST_CELLS = 2_000_000
+#: Of the shuffle key, so many hex digits choose the partition.
+DIGITS = 8
 ADDED = ("n_copies", "copy_no", "shuffle_key")
 
 
@@ -56,18 +63,28 @@ def uniform(*parts):
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
-def mix(docs: DataFrame, weights: dict | None = None, alpha: float = ALPHA, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+def cells(rate: DataFrame) -> int:
+    """Numbers in the distribution functions of all sources."""
+    return rate.agg(F.coalesce(F.sum(F.ceil(F.col("rate") + 10 * F.sqrt("rate") + 26)), F.lit(0))).first()[0]
+
+
+def mix(docs: DataFrame, weights: dict | None = None, alpha: float = ALPHA, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """The input's columns, each row as often as drawn, plus ``n_copies``, ``copy_no`` and ``shuffle_key``, in global random order."""
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ADDED])
-    cdf = poisson_cdf(rates(docs, weights, alpha, source_col))
-    few = cdf.select("mix_source").limit(MAX_BROADCAST_SOURCES + 1).count() <= MAX_BROADCAST_SOURCES
-    names = docs.columns
-    joined = docs.join(F.broadcast(cdf) if few else cdf, docs[source_col].eqNullSafe(cdf.mix_source))
+    rate = rates(docs, weights, alpha, source_col)
+    cdf = poisson_cdf(rate)
+    names, own = docs.columns, docs[id_col].cast("string")
+    if text_col in names:
+        own = F.coalesce(own, F.md5(F.coalesce(docs[text_col].cast("string"), F.lit(""))))
+    docs = docs.withColumn("_own", F.coalesce(own, F.lit("")))
+    joined = docs.join(F.broadcast(cdf) if cells(rate) <= BROADCAST_CELLS else cdf, docs[source_col].eqNullSafe(cdf.mix_source))
     drawn = F.size(F.filter("cdf", lambda c: c <= F.col("_u")))
-    rows = joined.withColumn("_u", uniform(F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("")))).withColumn("n_copies", drawn)
-    rows = rows.filter(F.col("n_copies") > 0).select(*names, "n_copies", F.explode(F.sequence(F.lit(1), F.col("n_copies"))).alias("copy_no"))
-    rows = rows.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(f"{seed}-order"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), "copy_no")))
-    return rows.orderBy("shuffle_key")
+    rows = joined.withColumn("_u", uniform(F.lit(str(seed)), F.col("_own"))).withColumn("n_copies", drawn)
+    rows = rows.filter(F.col("n_copies") > 0).select(*names, "_own", "n_copies", F.explode(F.sequence(F.lit(1), F.col("n_copies"))).alias("copy_no"))
+    rows = rows.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(f"{seed}-order"), F.col("_own"), "copy_no"))).drop("_own")
+    n = shuffle_partitions(docs.sparkSession)
+    part = F.conv(F.substring("shuffle_key", 1, DIGITS), 16, 10).cast("long") * n / (1 << 4 * DIGITS)
+    return rows.repartitionById(n, F.floor(part).cast("int")).sortWithinPartitions("shuffle_key")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,10 +101,10 @@ l AS (SELECT *, sum(ln(greatest(k, 1))) OVER (PARTITION BY source ORDER BY k) AS
 c AS (SELECT source, k, sum(exp(k * ln(rate) - rate - log_k)) OVER (PARTITION BY source ORDER BY k) AS cdf FROM l),
 a AS (SELECT source, list(cdf ORDER BY k) AS cdf FROM c GROUP BY source),
 d AS (
-  SELECT d.*, len(list_filter(a.cdf, lambda x: x <= ('0x' || substr(md5('{SEED}:' || coalesce(d.doc_id::VARCHAR, '')), 1, 13))::BIGINT / {float(1 << 52)})) AS n_copies
-  FROM documents d JOIN a ON d.source IS NOT DISTINCT FROM a.source
+  SELECT d.*, len(list_filter(a.cdf, lambda x: x <= ('0x' || substr(md5('{SEED}:' || own), 1, 13))::BIGINT / {float(1 << 52)})) AS n_copies
+  FROM (SELECT *, coalesce(doc_id::VARCHAR, md5(coalesce(text, ''))) AS own FROM documents) d JOIN a ON d.source IS NOT DISTINCT FROM a.source
 ), e AS (SELECT *, unnest(range(1, n_copies + 1)) AS copy_no FROM d)
 SELECT doc_id, text, lang, source, n_chars, n_copies::INT AS n_copies, copy_no::INT AS copy_no,
-       md5('{SEED}-order:' || coalesce(doc_id::VARCHAR, '') || ':' || copy_no) AS shuffle_key
+       md5('{SEED}-order:' || own || ':' || copy_no) AS shuffle_key
 FROM e
 """

@@ -15,7 +15,7 @@ def brute_copies(rows, alpha=mixing.ALPHA, seed=mixing.SEED):
     rate = {s: w[s] * len(rows) / (sum(w.values()) * n[s]) for s in n}
     out = Counter()
     for r in rows:
-        u = int(hashlib.md5(f"{seed}:{'' if r[0] is None else r[0]}".encode()).hexdigest()[:13], 16) / (1 << 52)
+        u = int(hashlib.md5(f"{seed}:{hashlib.md5((r[1] or '').encode()).hexdigest() if r[0] is None else r[0]}".encode()).hexdigest()[:13], 16) / (1 << 52)
         k, term, cdf = 0, math.exp(-rate[r[3]]), math.exp(-rate[r[3]])
         while cdf <= u:
             k += 1
@@ -25,9 +25,9 @@ def brute_copies(rows, alpha=mixing.ALPHA, seed=mixing.SEED):
     return +out
 
 
-@pytest.mark.parametrize("few", [10_000, 1])
+@pytest.mark.parametrize("few", [2_000_000, 1])
 def test_mixing(docs, rows, few, monkeypatch):
-    monkeypatch.setattr(mixing, "MAX_BROADCAST_SOURCES", few)
+    monkeypatch.setattr(mixing, "BROADCAST_CELLS", few)
     got = mixing.mix(docs).collect()
     assert Counter((r.doc_id, r.text) for r in got) == brute_copies(rows)
     keys = [r.shuffle_key for r in got]
@@ -97,3 +97,35 @@ def test_tokens_equal_the_library(spark, rows, none, tmp_path, monkeypatch):
     assert known == sorted(known) and order[-1].doc_id is None
     assert spark.read.parquet(str(tmp_path / "tokens/blocks")).count() > 10
     assert token_output.token_output(none, str(tmp_path / "nothing")).count() == 0
+
+
+def test_long_texts_repeats_and_nulls_over_several_parts(spark, tmp_path, monkeypatch):
+    """A text over a block's size; rows of one id, and of none, which fill many parts."""
+    pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(token_output.default_tokenizer())
+    rows = [(1, "one two " * 150_000)] + [(5, f"five {i} " * 40) for i in range(300)] + [(None, "none " * 50)] * 200 + [(7, "tail")]
+    monkeypatch.setattr(token_output, "RANGE_IDS", 2_000)
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "0 AS part", "1 AS tie", "2 AS salt").repartition(4)
+    ids = {t: np.array(own.encode(t, add_special_tokens=False).ids + [2], dtype="<u4") for t in {r[1] for r in rows}}
+    assert len(ids[rows[0][1]]) > token_output.BLOCK_IDS
+    want = Counter((i, len(ids[t]), zlib.crc32(ids[t].tobytes())) for i, t in rows)
+    for keep in (False, True):
+        path = str(tmp_path / f"tokens{keep}")
+        got = sorted(token_output.token_output(df, path, keep_order=keep).collect(), key=lambda r: r.start)
+        assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == want
+        assert [r.start for r in got] == np.concatenate(([0], np.cumsum([r.n_tokens for r in got])))[:-1].tolist()
+    blocks = spark.read.parquet(str(tmp_path / "tokensFalse/blocks")).collect()
+    by_doc = {}
+    for b in blocks:
+        for i, null in zip(np.frombuffer(b.doc_ids, dtype="<i8"), b.doc_null):
+            by_doc.setdefault(None if null else int(i), set()).add(b.part)
+    assert len(by_doc[5]) > 3 and len(by_doc[None]) > 2
+
+
+def test_kept_order_is_the_inputs(spark, tmp_path):
+    pytest.importorskip("public_tokenizers")
+    df = spark.createDataFrame([(i * 7 % 50, f"word {i}") for i in range(50)], "doc_id long, text string").coalesce(1)
+    got = sorted(token_output.token_output(df, str(tmp_path / "t"), keep_order=True).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [i * 7 % 50 for i in range(50)]

@@ -158,3 +158,28 @@ def test_url_filter(spark, none):
     assert url_filter.train(()) == (0.0, [0.0] * (2 * url_filter.BUCKETS))
     with pytest.raises(ValueError):
         url_filter.train((("u", 1),) * (url_filter.MAX_LABELLED + 1))
+
+
+def test_labelled_urls_held_out():
+    learn, held = url_filter.labelled_urls()
+    bias, weights = url_filter.train()
+    assert len(held) > 20 and not set(held) & set(learn)
+
+    def verdict(url):
+        host, path = url_filter.parts_of(url)
+        ids = url_filter.grams(host, 0) + url_filter.grams(path, url_filter.BUCKETS)
+        return bias + sum(weights[k] for k in ids) / max(1, len(ids)) > 0
+
+    assert np.mean([verdict(u) == y for u, y in held]) > 0.9
+
+
+def test_very_long_urls_take_linear_time(spark):
+    import time
+
+    took = []
+    for n in (20_000, 20_000, 160_000):
+        df = spark.createDataFrame([(1, "http://a.net/" + "ab" * (n // 2))], "page_id long, url string")
+        began = time.time()
+        assert 0 < url_filter.url_filter(df).first().block_score < 1
+        took.append(time.time() - began)
+    assert took[2] < 20 * took[1] + 5  # eight times the length; the square would be 64
