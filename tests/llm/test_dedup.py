@@ -14,8 +14,8 @@ def same(got, want):
     assert Counter(map(tuple, got)) == Counter(want)
 
 
-@pytest.mark.parametrize("hot", [400, 1])
-def test_exact(docs, rows, hot):
+@pytest.mark.parametrize("ranges", [8, 1, 1000])
+def test_exact(docs, rows, ranges):
     groups = defaultdict(list)
     for r in rows:
         groups[re.sub(r"[\x20\x09-\x0D]+", " ", r[1] or "")].append(r[0])
@@ -27,7 +27,22 @@ def test_exact(docs, rows, hot):
             kept = i == keep and not stayed
             stayed |= kept
             want.append((i, keep, len(ids), kept, hashlib.sha256(text.encode()).hexdigest()))
-    same(exact_dedup.exact_dedup(docs, hot_rows=hot).collect(), want)
+    same(exact_dedup.exact_dedup(docs, per_partition=ranges).collect(), want)
+
+
+def test_exact_copies_over_many_ranges(spark):
+    """A third of the rows share one text, some of them their id too or none; texts share long beginnings."""
+    rows = [(i % 7 if i < 400 else None, "same  text") for i in range(600)] + [(1000 + i, "x" * 70 + str(i % 40)) for i in range(600)] + [(2000 + i, "y" * 2000 + " z" * i) for i in range(300)] + [(5000, "long " * 100_000)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[re.sub(" +", " ", t)].append(i)
+    got = exact_dedup.exact_dedup(df, per_partition=30).collect()
+    want = {hashlib.sha256(t.encode()).hexdigest(): (min(i for i in ids if i is not None), len(ids)) for t, ids in groups.items()}
+    assert all((r.keep_id, r.group_size) == want[r.text_sha256] for r in got) and len(got) == len(rows)
+    assert sorted(r.text_sha256 for r in got if r.kept) == sorted(want) and all(r.doc_id == r.keep_id for r in got if r.kept)
+    cuts = exact_dedup.splitters(df, "text", 240)
+    assert max(c[2] for c in cuts) > 30 and all(len(t) <= exact_dedup.LAST or k > 1 for t, _, k in cuts)
 
 
 def test_exact_empty(none):
