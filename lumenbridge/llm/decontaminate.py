@@ -8,14 +8,16 @@ wavelet matrix, and every ``STRIDE``-th suffix position. All windows of the
 benchmark are searched backward at once; matching rows are walked to a sampled
 position; hit words are merged into spans and mapped back to documents.
 
-The benchmark is the smaller side: it is broadcast up to ``MAX_BYTES`` of
-text; beyond, its items are searched in blocks of that size and the blocks'
-spans are merged by shuffle.
+The benchmark is the smaller side: its windows are broadcast as arrays of word
+numbers, up to ``MAX_BYTES`` of text at once (the driver holds some 25 times
+that while it builds them); beyond, its items are searched in blocks of that
+size and the blocks' spans are merged by shuffle.
 
 Defined cases: null and empty texts have no words; items without words match
 nothing; a null item id counts as the empty string; items that repeat an id
-count once; repeated documents get equal results; other columns are ignored;
-an empty benchmark leaves every document clean.
+count once; repeated documents get equal results; a very long text is indexed
+whole, in one index; an empty table gives no rows; other columns are ignored,
+whatever their names; an empty benchmark leaves every document clean.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import LOWER, UPPER, table
 
 WINDOW, STRIDE = 10, 16
-MAX_BYTES = 32_000_000
+MAX_BYTES = 8_000_000
 #: A-Z to a-z, 0-9, a-z and bytes over 7F unchanged, others to a space.
 WORD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -40,7 +42,10 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 class FMIndex:
-    """Counts and places of phrases in a sequence of symbols 1.. (0 is the end mark)."""
+    """Counts and places of phrases in a sequence of symbols 1.. (0 is the end mark).
+
+    Kept are the wavelet matrix of the Burrows-Wheeler transform, and every ``STRIDE``-th position of the suffix array.
+    """
 
     def __init__(self, seq: np.ndarray):
         text = np.append(seq, 0).astype(np.int64)
@@ -55,16 +60,25 @@ class FMIndex:
             rank = np.empty(n, dtype=np.int64)
             rank[order] = np.concatenate(([0], np.cumsum(np.diff(key[order]) != 0)))
             step *= 2
-        bwt = text[order - 1]
+        bwt = text[order - 1].astype(np.int32)
         self.starts = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=int(text.max()) + 2))))
         self.sampled = order % STRIDE == 0
-        self.place = np.where(self.sampled, order, -1)
-        self.bwt, self.levels = bwt, []
+        self.before = np.cumsum(self.sampled, dtype=np.int32)  # sampled rows up to each, itself included
+        self.places, self.levels = order[self.sampled], []
         for bit in reversed(range(max(1, int(text.max()).bit_length()))):
             ones = (bwt >> bit) & 1
-            self.levels.append((bit, np.concatenate(([0], np.cumsum(ones))), int(n - ones.sum())))
+            self.levels.append((bit, np.concatenate(([0], np.cumsum(ones, dtype=np.int32))), int(n - ones.sum())))
             bwt = np.concatenate((bwt[ones == 0], bwt[ones == 1]))
 
+    def symbol(self, rows: np.ndarray) -> np.ndarray:
+        """The transform's symbol in each row, read from the wavelet matrix."""
+        out, at = np.zeros(len(rows), dtype=np.int64), rows
+        for bit, ones, zeros in self.levels:
+            one = ones[at + 1] > ones[at]
+            out |= one.astype(np.int64) << bit
+            at = np.where(one, zeros + ones[at], at - ones[at])
+        return out
+
     def rank(self, symbol: np.ndarray, upto: np.ndarray) -> np.ndarray:
         """How often each symbol stands in the transform before each row."""
         low, high = np.zeros_like(upto), upto
@@ -94,31 +108,38 @@ class FMIndex:
         todo = np.arange(len(rows))
         while len(todo):
             done = self.sampled[at]
-            out[todo[done]] = self.place[at[done]] + walked
+            out[todo[done]] = self.places[self.before[at[done]] - 1] + walked
             todo, at = todo[~done], at[~done]
-            symbol = self.bwt[at]
+            symbol = self.symbol(at)
             at, walked = self.starts[symbol] + self.rank(symbol, at), walked + 1
         return out
 
 
 class Phrases:
-    """The benchmark's windows: a vocabulary, and for each length the distinct windows with their items."""
+    """The benchmark's windows as numbers: a vocabulary, and for each length the distinct windows with their items.
+
+    Of ``lengths``, each has the windows (a row of word numbers each), the items' numbers, and where each window's items begin.
+    """
 
     def __init__(self, items: list[tuple[str, bytes | None]], window: int = WINDOW):
         self.vocabulary: dict[bytes, int] = {}
-        by: dict[tuple[bytes, ...], set[str]] = {}
+        self.items = sorted({i for i, _ in items})
+        number = {i: k for k, i in enumerate(self.items)}
+        found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         for item, text in items:
-            words = words_of(text)
+            words = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 2) for w in words_of(text)], dtype=np.int32)
             size = min(window, len(words))
-            for i in range(len(words) - size + 1 if size else 0):
-                by.setdefault(tuple(words[i: i + size]), set()).add(item)
-        for phrase in by:
-            for word in phrase:
-                self.vocabulary.setdefault(word, len(self.vocabulary) + 2)
-        self.lengths: dict[int, tuple[np.ndarray, list[list[str]]]] = {}
-        for size in sorted({len(p) for p in by}):
-            own = [p for p in by if len(p) == size]
-            self.lengths[size] = np.array([[self.vocabulary[w] for w in p] for p in own], dtype=np.int64), [sorted(by[p]) for p in own]
+            if size:
+                own = np.lib.stride_tricks.sliding_window_view(words, size)
+                found.setdefault(size, []).append((own, np.full(len(own), number[item], dtype=np.int32)))
+        self.lengths: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for size in sorted(found):
+            windows, owners = (np.concatenate(x) for x in zip(*found[size]))
+            order = np.lexsort((owners, *windows.T))
+            windows, owners = windows[order], owners[order]
+            new = np.append(True, (windows[1:] != windows[:-1]).any(axis=1))
+            fresh = new | np.append(True, owners[1:] != owners[:-1])  # a window that an item repeats counts once
+            self.lengths[size] = windows[new], owners[fresh], np.append(np.flatnonzero(new[fresh]), fresh.sum())
         self.least = min(self.lengths, default=0)
 
     @classmethod
@@ -157,7 +178,7 @@ def scan(texts: list[bytes | None], phrases: Phrases) -> list[tuple[int, list[tu
     seq[offset + length - 1] = 1
     index = FMIndex(seq)
     spans, found = [], []
-    for size, (own, items) in phrases.lengths.items():
+    for size, (own, items, begins) in phrases.lengths.items():
         low, high = index.search(own)
         hit = np.flatnonzero(high > low)
         if len(hit):
@@ -166,7 +187,7 @@ def scan(texts: list[bytes | None], phrases: Phrases) -> list[tuple[int, list[tu
             rows = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low[hit], many)
             at = origin[index.locate(rows)]
             spans.append(np.stack((at, at + size), axis=1))
-            found += [(np.searchsorted(starts, at, side="right") - 1, which, items)]
+            found.append((np.searchsorted(starts, at, side="right") - 1, which, items, begins))
     if not spans:
         return out
     both = np.unique(np.concatenate(spans), axis=0)
@@ -176,12 +197,12 @@ def scan(texts: list[bytes | None], phrases: Phrases) -> list[tuple[int, list[tu
     doc = np.searchsorted(starts, begin, side="right") - 1
     for d, b, e in zip(doc.tolist(), (begin - starts[doc]).tolist(), (end - starts[doc]).tolist()):
         out[d][1].append((b, e))
-    names: dict[int, set[str]] = {}
-    for docs, which, items in found:
+    names: dict[int, set[int]] = {}
+    for docs, which, items, begins in found:
         for d, p in np.unique(np.stack((docs, which), axis=1), axis=0).tolist():
-            names.setdefault(d, set()).update(items[p])
+            names.setdefault(d, set()).update(items[begins[p]: begins[p + 1]].tolist())
     for d, own in names.items():
-        out[d][2].extend(sorted(own))
+        out[d][2].extend(sorted(phrases.items[k] for k in own))
     return out
 
 
