@@ -59,6 +59,8 @@ UNKNOWN = 0.5
 ROUNDS, SWEEPS, EXACT = 2, 3, 48
 #: Dishes with up to so many customers have their tables drawn with Stirling numbers.
 STIRLING = 512
+#: Dishes whose odds are taken at once.
+ROWS = 4096
 PER_SHARD = 2_000_000
 #: Random streams of a sweep's gamma variates of contexts and of words, and of the parent's tables.
 CONTEXT_STREAM, WORD_STREAM, ROOT_STREAM = 10_000, 20_000, 30_000
@@ -309,29 +311,38 @@ def _many_tables(n: np.ndarray, a: np.ndarray, discount: float, key: np.ndarray,
     return np.clip(np.where(few, jumps, normal), 1, n)
 
 
+@functools.cache
+def steps(discount: float) -> np.ndarray:
+    """Logarithms of S_d(n, t + 1) / S_d(n, t), by n and t."""
+    logs = stirling(discount)
+    with np.errstate(invalid="ignore"):
+        return np.nan_to_num(np.diff(logs, axis=1), nan=-np.inf, neginf=-np.inf)
+
+
 def gibbs_tables(customers: np.ndarray, weight: np.ndarray, discount: float, key: np.ndarray, stream: int) -> np.ndarray:
     """Tables t of each dish (1 customer at least), drawn with odds ``weight``^t * S_d(customers, t)."""
     tables = np.ones(len(customers))
     more = np.flatnonzero(customers > 1)
-    by = more[np.argsort(customers[more], kind="stable")]
+    by = more[np.argsort(customers[more].astype(np.int64), kind="stable")]
     c, a, k = customers[by].astype(np.int64), np.maximum(weight[by], 1e-300), key[by]
     u = _uniform(k, stream, 0)
-    logs, drawn = stirling(discount), np.ones(len(by))
-    sizes, starts = np.unique(c, return_index=True)
-    for n, i, j in zip(sizes.tolist(), starts.tolist(), [*starts[1:].tolist(), len(c)]):
-        if n > STIRLING:
-            drawn[i:] = _many_tables(c[i:].astype(float), a[i:], discount, k[i:], stream)
-            break
-        if n == 2:
-            drawn[i:j] += u[i:j] * (a[i:j] + 1 - discount) < a[i:j]
-            continue
-        step = np.exp(np.diff(logs[n, 1: n + 1]))  # odds of t + 1 against t, but for the weight
-        for part in range(i, j, 20_000):
-            rows = slice(part, min(j, part + 20_000))
-            odds = np.log(a[rows])[:, None] + np.log(step)[None, :]
-            odds = np.concatenate([np.zeros((odds.shape[0], 1)), np.cumsum(odds, axis=1)], axis=1)
-            cdf = np.cumsum(np.exp(odds - odds.max(axis=1, keepdims=True)), axis=1)
-            drawn[rows] += (cdf < u[rows, None] * cdf[:, -1:]).sum(axis=1)
+    drawn = np.ones(len(by))
+    two, many = np.searchsorted(c, 3), np.searchsorted(c, STIRLING + 1)
+    drawn[:two] += u[:two] * (a[:two] + 1 - discount) < a[:two]
+    if many < len(c):
+        drawn[many:] = _many_tables(c[many:].astype(float), a[many:], discount, k[many:], stream)
+    logs, log_a = steps(discount), np.log(a)
+    for i in range(two, many, ROWS):
+        rows = slice(i, min(many, i + ROWS))
+        # odds fall off faster for fewer customers and smaller weights, so beyond `last` no row has odds that a double adds to its sum
+        n, top = int(c[rows].max()), float(log_a[rows].max())
+        reach = np.concatenate(([0.0], np.cumsum(logs[n, 1:n] + top)))
+        last = int(np.flatnonzero(reach > reach.max() - 45)[-1]) + 1
+        odds = np.zeros((rows.stop - i, last))
+        np.cumsum(logs[c[rows], 1:last] + log_a[rows, None], axis=1, out=odds[:, 1:])
+        odds -= odds.max(axis=1, keepdims=True)
+        cdf = np.cumsum(np.exp(odds, out=odds), axis=1, out=odds)
+        drawn[rows] += (cdf < u[rows, None] * cdf[:, -1:]).sum(axis=1)
     tables[by] = drawn
     return tables
 
