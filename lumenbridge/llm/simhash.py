@@ -18,8 +18,8 @@ small-star steps whose edge tables are written to the shared folder.
 Defined cases: a null or empty text, or one of white space only, has the
 fingerprint zero; texts of fewer than three words hash their whole sequence;
 repeated rows share their fingerprint and component; a null id is never a
-component's id unless all ids in it are null; an empty table gives no rows;
-other columns are ignored.
+component's id unless all ids in it are null; very long texts are hashed whole,
+a piece at a time; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -147,6 +147,12 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """The rows that stay, columns unchanged: of each component the one with its smallest id (of rows that share that id, the one of the smallest text hash)."""
+    names = [f"c{k}" for k in range(len(docs.columns))]  # whatever the columns are called
+    by = dict(zip(docs.columns, names))
+    return _drop_near_copies(docs.toDF(*names).withColumnsRenamed({by["doc_id"]: "doc_id", by["text"]: "text"})).toDF(*docs.columns)
+
+
+def _drop_near_copies(docs: DataFrame) -> DataFrame:
     found = materialise(members(docs).select("doc_id", "text_hash", "root", "component_id"), "simhash-members", few_files=True)
     first = F.col("doc_id").eqNullSafe(F.col("component_id"))
     ties = found.filter(first).groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.min("text_hash").alias("low_hash")).filter("n > 1").select("root", "low_hash")
