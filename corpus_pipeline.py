@@ -12,8 +12,15 @@ as the next stage's ``docs``. All but the last return the columns of
 3. ``decontaminate``: documents that hold a window of a benchmark item go.
 4. ``mixing``: documents are replicated to the sources' target weights (a
    document drawn zero times goes) and shuffled globally.
-5. ``token_output``: token files are written; returned are the digests read
-   back from them (doc_id, start, n_tokens, ids_crc32).
+5. ``token_output``: token files are written in the shuffled order; returned
+   are the digests read back from them (doc_id, start, n_tokens, ids_crc32).
+
+Defined cases: null and empty texts, and those of white space or marks only, go
+in stage 1; a null id is treated as each operator states; of rows that repeat
+an id and a text one stays after stage 2, and stage 4 may copy it; very long
+texts pass whole; an empty table gives no rows, and empty files; columns beyond
+those of ``documents``, whatever their names, are kept up to the last stage.
+What a stage has written is deleted once the next one's result is written.
 """
 
 from __future__ import annotations
@@ -21,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lumenbridge.llm import decontaminate, language_id, mixing, simhash, token_output
-from lumenbridge.llm.common import materialise, table
+from lumenbridge.llm.common import discard, materialise, table
 
 
 def stage_language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,11 +44,13 @@ def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs).select(*docs.columns)
+    names = [f"c{k}" for k in range(len(docs.columns))]  # whatever the columns are called
+    by = dict(zip(docs.columns, names))
+    return mixing.mix(docs.toDF(*names), id_col=by["doc_id"], source_col=by["source"], text_col=by["text"]).select(*names).toDF(*docs.columns)
 
 
 def stage_token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return token_output.token_output(docs)
+    return token_output.token_output(docs, keep_order=True)
 
 
 STAGES = [
@@ -57,9 +66,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = materialise(docs, f"stage-{name}")
+        if before is not None:
+            discard(before)
+        before = docs
     return docs
