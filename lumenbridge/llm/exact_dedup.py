@@ -86,7 +86,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = rows.repartition(n, "part").select(
         "doc_id", "part", "hot", F.sha2(F.encode("norm", "UTF-8"), 256).alias("sha"),
         F.row_number().over(equal).alias("nth"), F.first("doc_id").over(whole).alias("low"), F.count(F.lit(1)).over(whole).alias("n"))
-    found = materialise(found, "exact-groups", few_files=True)
+    found = materialise(found, "exact-groups")
     # of a text dealt over several ranges: all its rows, its smallest id, and the first range that has it; a row for each such text
     first = F.min(F.struct(F.col("low").isNull(), "low", "part"))
     over = found.filter(F.col("hot").isNotNull() & (F.col("nth") == 1)).groupBy("hot").agg(F.sum("n").alias("all_n"), first.alias("of"))
