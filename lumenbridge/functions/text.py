@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -56,14 +58,18 @@ def strip_fences(text: Column) -> Column:
 
 def parse_relations(text: Column) -> tuple[Column, Column]:
     """(relations, parse_ok) of an extraction's answer; triples need a subject, predicate and object, evidence may be empty."""
-    found = F.from_json(strip_fences(text), f"struct<relations: array<{TRIPLE.simpleString()}>>")["relations"]
+    # in brackets, text after the object makes a list that isn't one object
+    whole = F.from_json(F.concat(F.lit("["), strip_fences(text), F.lit("]")), "array<struct<relations: array<string>>>")
+    found = F.when(F.size(whole) == 1, whole[0]["relations"])
 
     def part(r: Column, name: str) -> Column:
         return F.trim(F.coalesce(r[name], F.lit("")))
 
-    clean = F.transform(found, lambda r: F.struct(*[part(r, n).alias(n) for n in ("subject", "predicate", "object", "evidence")]))
-    whole = F.filter(clean, lambda r: (r["subject"] != "") & (r["predicate"] != "") & (r["object"] != ""))
-    return F.coalesce(whole, F.array().cast(f"array<{TRIPLE.simpleString()}>")), found.isNotNull()
+    # items are parsed one by one: one that is no object leaves the others alone
+    each = F.transform(F.filter(found, lambda r: F.coalesce(F.ltrim(r).startswith("{"), F.lit(False))), lambda r: F.from_json(r, TRIPLE.simpleString()))
+    clean = F.transform(each, lambda r: F.struct(*[part(r, n).alias(n) for n in ("subject", "predicate", "object", "evidence")]))
+    kept = F.filter(clean, lambda r: (r["subject"] != "") & (r["predicate"] != "") & (r["object"] != ""))
+    return F.coalesce(kept, F.array().cast(f"array<{TRIPLE.simpleString()}>")), found.isNotNull()
 
 
 def dedupe_forms(descriptor: Column, synonyms: Column) -> Column:
@@ -77,8 +83,14 @@ def split_hints(hint: Column) -> Column:
     return F.filter(F.transform(F.split(hint, ";"), lambda h: F.trim(h)), lambda h: h != "")
 
 
-PROMPT_VERSION = "v1"
-INSTRUCTIONS = "List the relations that the abstract states as JSON: {\"relations\": [{\"subject\", \"predicate\", \"object\", \"evidence\"}]}."
+PROMPT_VERSION = "v2"
+INSTRUCTIONS = (
+    "Read the title and the abstract below and list the relations between biomedical entities that they state. "
+    "Use this text alone: add nothing that you know from elsewhere, infer nothing, and guess nothing; a relation that no sentence states is left out. "
+    "Name subject and object as the text names them. Give as evidence the sentence that states the relation, word for word. "
+    "Answer with JSON and nothing else: {\"relations\": [{\"subject\": \"...\", \"predicate\": \"...\", \"object\": \"...\", \"evidence\": \"...\"}]}. "
+    "If the text states no relation, the list is empty."
+)
 
 
 def build_prompt(title: Column, abstract: Column) -> Column:
@@ -92,6 +104,11 @@ def prompt_hash(model: str, temperature: str, prompt: Column, version: str = PRO
     return F.sha2(F.concat(F.lit(model), nul, F.lit(version), nul, F.lit(f"t={temperature}"), nul, prompt, nul), 256)
 
 
+def sorted_json(params: dict) -> str:
+    """Parameters as they enter a request's key: keys in order, a blank after each comma and colon."""
+    return json.dumps(params, sort_keys=True)
+
+
 def request_key(endpoint: Column, params_json: Column) -> Column:
-    """SHA-256 of the endpoint, a pipe and the parameters as JSON with sorted keys."""
+    """SHA-256 of the endpoint, a pipe and the parameters as ``sorted_json`` writes them."""
     return F.sha2(F.concat(endpoint, F.chr(F.lit(124)), params_json), 256)

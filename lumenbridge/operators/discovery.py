@@ -17,14 +17,25 @@ def df_filter(stats: DataFrame, total_papers: DataFrame, ranking: Ranking) -> Da
 
 def closed_discovery(stats: DataFrame, total_papers: DataFrame, ranking: Ranking) -> DataFrame:
     """Terms on both sides, scored by a_df * c_df / total_df and ranked: score, balance, name."""
+    return _ranked(closed_scores(stats, total_papers, ranking))  # one row per term
+
+
+def closed_scores(stats: DataFrame, total_papers: DataFrame, ranking: Ranking) -> DataFrame:
     rows = df_filter(stats, total_papers, ranking).filter("a_df > 0 AND c_df > 0")
-    rows = rows.select("term", "a_df", "c_df", "total_df", (F.col("a_df") * F.col("c_df") / F.col("total_df")).alias("score"))
-    order = Window.orderBy(F.desc("score"), F.desc(F.least("a_df", "c_df")), "term")  # one row per term
-    return rows.withColumn("rank", F.row_number().over(order))
+    return rows.select("term", "a_df", "c_df", "total_df", (F.col("a_df") * F.col("c_df") / F.col("total_df")).alias("score"))
+
+
+def _order():
+    return F.desc("score"), F.desc(F.least("a_df", "c_df")), F.asc("term")
+
+
+def _ranked(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("rank", F.row_number().over(Window.orderBy(*_order())))
 
 
 def closed_topk(stats: DataFrame, total_papers: DataFrame, ranking: Ranking, top: int = 25) -> DataFrame:
-    return closed_discovery(stats, total_papers, ranking).filter(F.col("rank") <= top)
+    """The first ``top`` of them: each task keeps its own first ones, and only these are ranked."""
+    return _ranked(closed_scores(stats, total_papers, ranking).orderBy(*_order()).limit(top))
 
 
 def known_term_gate(candidates: DataFrame, known: tuple[KnownTerm, ...]) -> DataFrame:

@@ -33,10 +33,11 @@ def distinct_terms(descriptors: DataFrame) -> DataFrame:
 
 
 def ground(papers_terms: DataFrame, relations: DataFrame, synonyms: DataFrame | None = None) -> DataFrame:
-    """(pmid, term, grounded): whether a relation of the paper mentions the term or a form of it.
+    """(pmid, term, plain, grounded): whether a relation of the paper mentions the term, and whether it mentions a form of it.
 
     ``papers_terms`` has (pmid, term), ``relations`` (pmid, relations); the
     match is made inside a paper's own row, so no pair of papers ever meets.
+    Without synonyms, the term is its only form.
     """
     if synonyms is not None:
         forms = papers_terms.join(synonyms.select(F.col("descriptor").alias("term"), "forms"), "term", "left")
@@ -45,9 +46,22 @@ def ground(papers_terms: DataFrame, relations: DataFrame, synonyms: DataFrame |
         forms, one = papers_terms, F.struct("term", F.array("term").alias("forms"))
     own = forms.groupBy("pmid").agg(F.collect_list(one).alias("own"))
     said = relations.groupBy("pmid").agg(F.flatten(F.collect_list(T.mention_texts(F.col("relations")))).alias("mentions"))
-    rows = own.join(said, "pmid", "left").select("pmid", "own", F.transform(F.array_distinct(F.coalesce("mentions", F.array().cast("array<string>"))), T.stems).alias("heard"))
-    rows = rows.select("pmid", "heard", F.explode("own").alias("t"))
-    return rows.select("pmid", F.col("t.term").alias("term"), T.any_form_matches(F.transform("t.forms", T.stems), F.col("heard")).alias("grounded"))
+    said = said.select("pmid", F.transform(F.array_distinct("mentions"), T.stems).alias("heard"))  # stemmed once a paper, below the join
+    rows = own.join(said, "pmid", "left").withColumn("heard", F.coalesce("heard", F.array().cast("array<array<string>>")))
+
+    def judged(t):
+        plain = T.any_form_matches(F.array(T.stems(t["term"])), F.col("heard"))
+        forms = plain if synonyms is None else T.any_form_matches(F.transform(t["forms"], T.stems), F.col("heard"))
+        return F.struct(t["term"].alias("term"), plain.alias("plain"), forms.alias("grounded"))
+
+    return rows.select("pmid", F.explode(F.transform("own", judged)).alias("t")).select("pmid", "t.*")
+
+
+def node_counts(papers: DataFrame, stats: DataFrame, candidates: DataFrame) -> DataFrame:
+    """One row (total_papers, a_df, c_df, terms, candidates): papers of either side, of each side, terms next to one, and candidates that are left."""
+    sides = papers.agg(F.count_if(F.col("in_a") | F.col("in_c")).alias("total_papers"), F.count_if("in_a").alias("a_df"), F.count_if("in_c").alias("c_df"))
+    found = stats.agg(F.count(F.lit(1)).alias("terms")), candidates.agg(F.count(F.lit(1)).alias("candidates"))
+    return sides.join(F.broadcast(found[0])).join(F.broadcast(found[1]))  # one row each
 
 
 def term_stats(inc: DataFrame) -> DataFrame:

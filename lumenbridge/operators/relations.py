@@ -68,10 +68,10 @@ def coverage(descriptor_support: DataFrame) -> DataFrame:
     return per.agg(n.alias("descriptors"), s.alias("supported"), F.count(F.lit(1)).alias("papers"), F.count_if(F.col("s") > 0).alias("papers_with_support"), F.round(F.coalesce(s / F.nullif(n, F.lit(0)), F.lit(0.0)), 9).alias("support_share"))
 
 
-def known_term_coverage(plain: DataFrame, with_synonyms: DataFrame, hints: list[str]) -> DataFrame:
-    """(term, seen, plain, synonym): papers with each known term, and those where it is supported without and with synonyms."""
-    both = plain.filter(F.col("term").isin(*hints)).select("pmid", "term", F.col("grounded").alias("p")).join(with_synonyms.select("pmid", "term", F.col("grounded").alias("s")), ["pmid", "term"])
-    return both.groupBy("term").agg(F.count(F.lit(1)).alias("seen"), F.count_if("p").alias("plain"), F.count_if("s").alias("synonym"))
+def known_term_coverage(support: DataFrame, hints: list[str]) -> DataFrame:
+    """(term, seen, plain, synonym): papers with each known term, and those where it is supported without and with synonyms (``ground``)."""
+    known = support.filter(F.col("term").isin(*hints))
+    return known.groupBy("term").agg(F.count(F.lit(1)).alias("seen"), F.count_if("plain").alias("plain"), F.count_if("grounded").alias("synonym"))
 
 
 def cost_estimate(sample: DataFrame, papers: int, prices: Prices) -> DataFrame:

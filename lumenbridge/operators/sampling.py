@@ -8,10 +8,6 @@ from pyspark.sql import functions as F
 from ..config import Split
 
 
-def newest_first(year: str = "pub_year"):
-    return F.desc_nulls_last(year), F.asc("pmid")
-
-
 def per_year_sample(members: DataFrame, cap: int) -> DataFrame:
     """The newest ``cap`` papers of each (corridor, year): columns corridor, pub_year, pmid, pub_date, pos."""
     w = Window.partitionBy("corridor", "pub_year").orderBy(F.desc("pub_date"), "pmid")

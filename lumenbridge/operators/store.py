@@ -24,6 +24,12 @@ def insert_ignore(stored: DataFrame, batch: DataFrame, keys: list[str]) -> DataF
     return batch.dropDuplicates(keys).join(stored.select(*keys), keys, "left_anti")
 
 
+def lookup(stored: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """Each wanted key once, with the stored row's other columns and ``found``; a join in place of lookups one by one."""
+    rows = stored.withColumn("found", F.lit(True))
+    return wanted.select(key).distinct().join(rows, key, "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
 def open_table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """The table at ``path``, empty if it isn't there yet."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)

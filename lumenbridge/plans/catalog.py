@@ -29,7 +29,12 @@ def plain(df: DataFrame) -> DataFrame:
 
 
 def _inc(s, d):
-    return inc_.incidence(B.papers(s, d), B.terms(s, d))
+    return inc_.incidence(B.papers(s, d), B.terms(s, d), STUDY.anchors)
+
+
+def _grounded_inc(s, d):
+    """The incidence whose ``grounded`` tells whether the paper's extracted relations mention the term."""
+    return inc_.incidence(B.papers(s, d), _support(s, d), STUDY.anchors)
 
 
 def _stats(s, d):
@@ -44,25 +49,29 @@ def _sizes(s, d):
     return inc_.corridor_sizes(B.papers(s, d), [(x.name, x.cutoff) for x in SPLITS])
 
 
-def _closed(s, d):
-    return slicing.closed_slices(slicing.slice_counts(_inc(s, d), SPLITS), _sizes(s, d), RANKING)
+def _closed(s, d, inc=_inc):
+    return slicing.closed_slices(slicing.slice_counts(inc(s, d), SPLITS), _sizes(s, d), RANKING)
 
 
 def _open(s, d):
-    inc = inc_.incidence(B.papers(s, d), B.terms(s, d, "partkey"))
+    inc = inc_.incidence(B.papers(s, d), B.terms(s, d, "partkey", STUDY.anchors))
     return slicing.open_slices(slicing.slice_counts(inc, SPLITS), _sizes(s, d), OPEN)
 
 
-def _sweep(s, d):
-    return slicing.hit_sweep(_closed(s, d), F.least("a_post", "c_post"), SPLITS, RANKING)
+def _sweep(s, d, inc=_inc):
+    return slicing.hit_sweep(_closed(s, d, inc), F.least("a_post", "c_post"), SPLITS, RANKING)
 
 
 def _open_sweep(s, d):
     return slicing.hit_sweep(_open(s, d), F.col("absent_post"), SPLITS, OPEN)
 
 
-def _labels(s, d):
-    return slicing.labelled(slicing.ranked(slicing.scored(_closed(s, d)), RANKING.seed), slicing.threshold(_sweep(s, d), RANKING))
+def _labels(s, d, inc=_inc):
+    return slicing.labelled(slicing.ranked(slicing.scored(_closed(s, d, inc)), RANKING.seed), slicing.threshold(_sweep(s, d, inc), RANKING))
+
+
+def _grounded_metrics(s, d):
+    return slicing.precision_recall(_labels(s, d, _grounded_inc), RANKING)
 
 
 def _open_labels(s, d):
@@ -161,7 +170,7 @@ def coverage_report(s, d):
 
 def known_coverage(s, d):
     hints = sorted({h.strip() for k in STUDY.known for h in k.hint.split(";") if h.strip()})
-    return relations.known_term_coverage(_support(s, d), _support(s, d, True), hints)
+    return relations.known_term_coverage(_support(s, d, True), hints)
 
 
 def parse_article(s, d):
@@ -198,7 +207,7 @@ def sample_first_n(s, d):
 
 
 def upsert_latest(s, d):
-    e = B.extractions(s, d)
+    e = B.extractions(s, d)  # every paper's
     old, new = e.filter("prompt_hash < '8'"), e.filter("prompt_hash >= '8'")
     return store.upsert_latest(old, new, ["pmid"], [F.desc("created_at"), F.desc("prompt_hash")]).select("pmid", "prompt_hash")
 
@@ -217,7 +226,7 @@ def _targets(s, d):
 
 
 def extraction_pending(s, d):
-    return relations.pending(_targets(s, d), B.extractions(s, d), STUDY.model, BUDGET)
+    return relations.pending(_targets(s, d), B.extractions(s, d, gaps=True), STUDY.model, BUDGET)
 
 
 def extraction_progress(s, d):
@@ -226,9 +235,31 @@ def extraction_progress(s, d):
 
 def cost_estimate(s, d):
     k = F.col("o_orderkey")
-    sample = B.table(s, d, "orders").filter(k < 1000).select(
+    sample = B.table(s, d, "orders").select(
         (k % 13 != 0).alias("ok"), (k % 17 != 0).alias("parse_ok"), (k % 3 == 0).alias("cached"), (k % 5).alias("n_relations"), (k % 700).alias("input_tokens"), (k % 400).alias("output_tokens"))
-    return relations.cost_estimate(sample, 2397, STUDY.prices)
+    return relations.cost_estimate(sample, _targets(s, d).count(), STUDY.prices)
+
+
+def membership_flags(s, d):
+    bare = B.papers(s, d).drop("in_a", "in_c")
+    return inc_.flag_papers(bare, B.corridor(s, d)).select("pmid", "in_a", "in_c")
+
+
+def article_terms(s, d):
+    return inc_.distinct_terms(R.parse_articles(_articles(s, d)).select("pmid", "descriptors"))
+
+
+def supported_descriptors(s, d):
+    """Descriptors of a paper that its mentions support: the terms of its lines against the types it mentions."""
+    own = B.lines(s, d).groupBy("pmid").agg(F.array_sort(F.collect_set("term")).alias("terms"))
+    heard = B.relations(s, d).select("pmid", T.mention_texts(F.col("relations")).alias("mentions"))
+    return own.join(heard, "pmid").select("pmid", F.array_join(T.supported(F.col("terms"), F.col("mentions")), "|").alias("supported"))
+
+
+def point_lookup(s, d):
+    """Papers asked for by id, and whether the store has them, in one join."""
+    wanted = B.table(s, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("pmid")).distinct()
+    return store.lookup(B.papers(s, d).filter("pub_year <= 1998").select("pmid", "pub_date", "pub_year"), wanted, "pmid")
 
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -261,7 +292,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "mention_match": mention_match,
     "mention_match_synonyms": mention_match_synonyms,
     "relations_exploded": relations_exploded,
-    "grounded_incidence": _support,
+    "grounded_incidence": lambda s, d: _support(s, d).select("pmid", "term", "grounded"),
     "llm_json_parse": llm_json_parse,
     "prompt_hash": prompt_hash,
     "request_key": request_key,
@@ -287,6 +318,15 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "extraction_pending": extraction_pending,
     "extraction_progress": extraction_progress,
     "cost_estimate": cost_estimate,
+    "membership_flags": membership_flags,
+    "article_terms": article_terms,
+    "supported_descriptors": supported_descriptors,
+    "point_lookup": point_lookup,
+    "node_counts": lambda s, d: inc_.node_counts(B.papers(s, d), _stats(s, d), discovery.closed_scores(_stats(s, d), _total(s, d), RANKING)),
+    "grounded_slices": lambda s, d: _closed(s, d, _grounded_inc).select("split", "term", "a_pre", "c_pre", "a_post", "c_post", "ga_pre", "gc_pre"),
+    "grounded_precision": _grounded_metrics,
+    "grounded_verdict": lambda s, d: slicing.verdict(_grounded_metrics(s, d), RANKING),
+    "open_verdict": lambda s, d: slicing.verdict(slicing.precision_recall(_open_labels(s, d), OPEN), OPEN),
 }
 
 

@@ -21,10 +21,13 @@ p AS (
 )"""
 
 
+ANCHORS = ", ".join(f"'{a}'" for a in STUDY.anchors)
+
+
 def inc(term: str = "p_brand || ' ' || p_name") -> str:
     return PAPERS + f""", lines AS (
-  SELECT l_orderkey::VARCHAR AS pmid, {term} AS term, p_type, l_returnflag = 'R' AS mentioned FROM lineitem JOIN part ON l_partkey = p_partkey
-), terms AS (SELECT pmid, term, bool_or(mentioned) AS grounded FROM lines GROUP BY ALL),
+  SELECT l_orderkey::VARCHAR AS pmid, {term} AS term, p_brand || ' ' || p_name AS name, p_type, l_returnflag = 'R' AS mentioned FROM lineitem JOIN part ON l_partkey = p_partkey
+), terms AS (SELECT pmid, term, bool_or(mentioned) AS grounded FROM lines WHERE name NOT IN ({ANCHORS}) GROUP BY pmid, term),
 inc AS (SELECT p.pmid, term, yr, in_a, in_c, grounded FROM p JOIN terms ON p.pmid = terms.pmid WHERE in_a OR in_c)"""
 
 
@@ -41,22 +44,23 @@ CLOSED = STATS + f""", ranked AS (
 )"""
 
 
-def slices(base: str) -> str:
+def slices(base: str, rows: str = "inc") -> str:
     def counts(s) -> str:
         pre, post = f"yr <= {s.cutoff}", f"yr BETWEEN {s.first} AND {s.last}"
         return f"""SELECT '{s.name}' AS split, term, count(*) FILTER (in_a AND {pre}) AS a_pre, count(*) FILTER (in_c AND {pre}) AS c_pre,
       count(*) FILTER (in_a AND {post}) AS a_post, count(*) FILTER (in_c AND {post}) AS c_post,
-      count(*) FILTER (in_a AND {pre} AND grounded) AS ga_pre, count(*) FILTER (in_c AND {pre} AND grounded) AS gc_pre FROM inc GROUP BY term"""
+      count(*) FILTER (in_a AND {pre} AND grounded) AS ga_pre, count(*) FILTER (in_c AND {pre} AND grounded) AS gc_pre FROM {rows} GROUP BY term"""
 
     sizes = " UNION ALL ".join(f"SELECT '{s.name}' AS split, {s.cutoff} AS cutoff, count(*) FILTER (in_a AND yr <= {s.cutoff}) AS n_a, count(*) FILTER (in_c AND yr <= {s.cutoff}) AS n_c FROM p" for s in STUDY.splits)
     return base + f""", counts AS ({' UNION ALL '.join(counts(s) for s in STUDY.splits)}), sizes AS ({sizes}),
 slices AS (SELECT c.*, n_a, n_c FROM counts c JOIN sizes s ON c.split = s.split)"""
 
 
-CSLICES = slices(inc()) + f""", cand AS (
+CLOSED_CAND = f""", cand AS (
   SELECT *, least(a_post, c_post) AS hit_count FROM slices
   WHERE a_pre >= 1 AND c_pre >= 1 AND a_pre + c_pre BETWEEN {R.df_min} AND {R.df_max_ratio} * (n_a + n_c)
 )"""
+CSLICES = slices(inc()) + CLOSED_CAND
 OSLICES = slices(inc("l_partkey::VARCHAR")) + f""", cand AS (
   SELECT * FROM (
     SELECT split, term, n_a, n_c, CASE WHEN a_pre >= 1 THEN 'A' ELSE 'C' END AS present, CASE WHEN a_pre >= 1 THEN a_pre ELSE c_pre END AS present_pre,
@@ -86,7 +90,8 @@ def sweep(base: str) -> str:
 ), star AS (SELECT coalesce(min(n) FILTER (split = 'dev' AND hits >= {R.least_hits} AND rate <= {R.most_rate}), 1) AS n_star FROM sweep)"""
 
 
-SCORED = sweep(ranked(CSLICES, [("grounded", pmi("ga_pre", "gc_pre")), ("pmi", pmi("a_pre", "c_pre")), ("frequency", "a_pre + c_pre")])) + ", labels AS (SELECT ranks.*, n_star, hit_count >= n_star AS hit FROM ranks, star)"
+CLOSED_METHODS = [("grounded", pmi("ga_pre", "gc_pre")), ("pmi", pmi("a_pre", "c_pre")), ("frequency", "a_pre + c_pre")]
+SCORED = sweep(ranked(CSLICES, CLOSED_METHODS)) + ", labels AS (SELECT ranks.*, n_star, hit_count >= n_star AS hit FROM ranks, star)"
 OSCORED = sweep(ranked(OSLICES, [("grounded", "grounded_pre"), ("frequency", "present_pre")])) + ", labels AS (SELECT ranks.*, n_star, hit_count >= n_star AS hit FROM ranks, star)"
 METRICS = f""", metrics AS (
   SELECT split, method, k, max(n_star) AS n_star, round(count(*) FILTER (hit AND rank <= k) / k, 9) AS precision,
@@ -96,6 +101,9 @@ METRICS = f""", metrics AS (
 SHOW_METRICS = "SELECT split, method, k::BIGINT AS k, n_star::BIGINT AS n_star, precision::DOUBLE AS precision, recall::DOUBLE AS recall FROM metrics"
 SHOW_SWEEP = "SELECT split, n::BIGINT AS n, candidates::BIGINT AS candidates, hits::BIGINT AS hits, rate::DOUBLE AS rate FROM sweep"
 
+VERDICT = f""", v AS (SELECT max(precision) FILTER (method = 'grounded') AS g, max(precision) FILTER (method = 'frequency') AS f, max(precision) FILTER (method = 'random') AS r FROM metrics WHERE split = 'test' AND k = {R.top_k[0]})
+ SELECT 'grounded' AS model, g::DOUBLE AS model_p, f::DOUBLE AS frequency_p, r::DOUBLE AS random_p, (g > f AND g >= r)::BIGINT AS passed FROM v"""
+
 
 def toks(x: str) -> str:
     return f"regexp_extract_all(lower({x}), '[a-z0-9]+')"
@@ -119,6 +127,8 @@ support AS (SELECT forms.pmid, term, coalesce(bool_or({match('f', 'm')}), false)
 
 
 SUPPORT = support("[term]")
+GSLICES = slices(SUPPORT + f", ginc AS (SELECT p.pmid, term, yr, in_a, in_c, grounded FROM p JOIN support ON p.pmid = support.pmid WHERE (in_a OR in_c) AND term NOT IN ({ANCHORS}))", "ginc") + CLOSED_CAND
+GSCORED = sweep(ranked(GSLICES, CLOSED_METHODS)) + ", labels AS (SELECT ranks.*, n_star, hit_count >= n_star AS hit FROM ranks, star)"
 HINTS = sorted({h.strip() for k in STUDY.known for h in k.hint.split(";") if h.strip()})
 KNOWN = ", ".join(f"('{k.label}', '{k.hint}')" for k in STUDY.known)
 GATE = CLOSED + f""", hints AS (
@@ -156,10 +166,13 @@ dd AS (
 ), dates AS (SELECT *, coalesce(own_date, CASE WHEN own_year IS NULL THEN other_year::VARCHAR END) AS pub_date, coalesce(own_year, other_year) AS pub_year FROM dd)"""
 
 
-EXTR = f"""e AS (
+def extracted(where: str) -> str:
+    return f"""e AS (
   SELECT o_orderkey::VARCHAR AS pmid, CASE WHEN o_orderkey % 9 = 0 THEN 'other' ELSE '{MODEL}' END AS model, md5(o_orderkey || '/' || try) AS prompt_hash, o_orderdate AS created_at
-  FROM (SELECT *, unnest(range(1, CASE WHEN o_orderkey % 5 = 0 THEN 3 ELSE 2 END)) AS try FROM orders WHERE o_orderkey % 4 <> 0)
+  FROM (SELECT *, unnest(range(1, CASE WHEN o_orderkey % 5 = 0 THEN 3 ELSE 2 END)) AS try FROM orders WHERE {where})
 )"""
+
+
 TARGETS = PAPERS + ", targets AS (SELECT pmid FROM p WHERE abstract IS NOT NULL AND abstract <> '' AND yr <= 1999 AND (in_a OR in_c))"
 PRICES = STUDY.prices
 DEDUPE = "[p_name, upper(p_name), trim(' ' || p_type || ' '), lower(p_type), p_brand]"
@@ -169,7 +182,7 @@ def oracle_sql() -> dict[str, str]:
     w = "WITH "
     return {
         "incidence": w + inc() + " SELECT pmid, term, yr::BIGINT AS yr, in_a::BIGINT AS in_a, in_c::BIGINT AS in_c, grounded::BIGINT AS grounded FROM inc",
-        "anchor_exclusion": w + inc() + " SELECT pmid, term FROM inc WHERE term NOT IN (" + ", ".join(f"'{a}'" for a in STUDY.anchors) + ")",
+        "anchor_exclusion": w + inc() + " SELECT pmid, term FROM inc",
         "term_stats": w + STATS + " SELECT term, a_df::BIGINT AS a_df, c_df::BIGINT AS c_df, total_df::BIGINT AS total_df, a_first_year::BIGINT AS a_first_year, c_first_year::BIGINT AS c_first_year FROM stats",
         "edge_evidence": w + inc() + ", s AS (SELECT 'A' AS side, * FROM inc WHERE in_a UNION ALL SELECT 'C', * FROM inc WHERE in_c) SELECT side, term, 'cooccurrence' AS source, count(*)::BIGINT AS weight, string_agg(pmid, ',' ORDER BY pmid) AS pmids, string_agg(yr::VARCHAR, ',' ORDER BY yr) AS years, min(yr)::BIGINT AS first_year FROM s GROUP BY side, term",
         "bridge_intersect": w + STATS + " SELECT term FROM stats WHERE a_df > 0 INTERSECT SELECT term FROM stats WHERE c_df > 0",
@@ -188,8 +201,18 @@ def oracle_sql() -> dict[str, str]:
         "threshold_selection": w + SCORED + " SELECT n_star::BIGINT AS n_star FROM star",
         "precision_recall": w + SCORED + METRICS + " " + SHOW_METRICS,
         "top_false_positives": w + SCORED + " SELECT split, method, rank::BIGINT AS rank, term FROM labels WHERE rank <= 10 AND NOT hit",
-        "verdict": w + SCORED + METRICS + f""", v AS (SELECT max(precision) FILTER (method = 'grounded') AS g, max(precision) FILTER (method = 'frequency') AS f, max(precision) FILTER (method = 'random') AS r FROM metrics WHERE split = 'test' AND k = {R.top_k[0]})
- SELECT 'grounded' AS model, g::DOUBLE AS model_p, f::DOUBLE AS frequency_p, r::DOUBLE AS random_p, (g > f AND g >= r)::BIGINT AS passed FROM v""",
+        "verdict": w + SCORED + METRICS + VERDICT,
+        "grounded_verdict": w + GSCORED + METRICS + VERDICT,
+        "open_verdict": w + OSCORED + METRICS + VERDICT,
+        "grounded_slices": w + GSLICES + " SELECT split, term, a_pre::BIGINT AS a_pre, c_pre::BIGINT AS c_pre, a_post::BIGINT AS a_post, c_post::BIGINT AS c_post, ga_pre::BIGINT AS ga_pre, gc_pre::BIGINT AS gc_pre FROM cand",
+        "grounded_precision": w + GSCORED + METRICS + " " + SHOW_METRICS,
+        "node_counts": w + CLOSED + """ SELECT (SELECT total_papers FROM total)::BIGINT AS total_papers, (SELECT count(*) FROM p WHERE in_a)::BIGINT AS a_df, (SELECT count(*) FROM p WHERE in_c)::BIGINT AS c_df,
+ (SELECT count(*) FROM stats)::BIGINT AS terms, (SELECT count(*) FROM ranked)::BIGINT AS candidates""",
+        "membership_flags": w + PAPERS + " SELECT pmid, in_a::BIGINT AS in_a, in_c::BIGINT AS in_c FROM p",
+        "article_terms": f"""WITH raw AS (SELECT {RAW_ARTICLE} AS j FROM orders), c AS (SELECT json_extract(j, '$.MedlineCitation') AS c FROM raw)
+ SELECT DISTINCT c->>'PMID' AS pmid, term FROM (SELECT c, unnest(json_extract_string(c, '$.MeshHeadingList[*].DescriptorName')) AS term FROM c WHERE json_extract(c, '$.Article') IS NOT NULL) WHERE term <> ''""",
+        "supported_descriptors": w + SUPPORT + """ SELECT pmid, coalesce(string_agg(term, '|' ORDER BY term) FILTER (grounded), '') AS supported FROM support WHERE pmid IN (SELECT pmid FROM said) GROUP BY pmid""",
+        "point_lookup": w + PAPERS + " SELECT w.pmid, pub_date, yr::BIGINT AS pub_year, (p.pmid IS NOT NULL)::BIGINT AS found FROM (SELECT DISTINCT l_orderkey::VARCHAR AS pmid FROM lineitem) w LEFT JOIN (SELECT * FROM p WHERE yr <= 1998) p ON w.pmid = p.pmid",
         "open_slices": w + OSLICES + " SELECT split, term, present, present_pre::BIGINT AS present_pre, hit_count::BIGINT AS absent_post, grounded_pre::BIGINT AS grounded_pre FROM cand",
         "hit_sweep_open": w + OSCORED + " " + SHOW_SWEEP,
         "open_precision": w + OSCORED + METRICS + " " + SHOW_METRICS,
@@ -229,16 +252,16 @@ def oracle_sql() -> dict[str, str]:
         "sampling_report": w + PAPERS + f", y AS (SELECT corridor, yr, count(*) AS n FROM corridor GROUP BY ALL) SELECT corridor, sum(n)::BIGINT AS total_hits, sum(least(n, {CAP}))::BIGINT AS sampled, count(*) FILTER (n > {CAP})::BIGINT AS capped_years, (max(n) > {CAP})::BIGINT AS truncated FROM y GROUP BY corridor",
         "flat_sample": w + PAPERS + f" SELECT pmid, pub_date FROM corridor WHERE corridor = 'A' ORDER BY pub_date DESC, pmid LIMIT {FLAT}",
         "sample_first_n": w + PAPERS + f" SELECT pmid, abstract FROM p WHERE abstract <> '' ORDER BY pmid LIMIT {SAMPLE}",
-        "upsert_latest": w + EXTR + " SELECT pmid, max(prompt_hash) AS prompt_hash FROM e GROUP BY pmid",
+        "upsert_latest": w + extracted("true") + " SELECT pmid, max(prompt_hash) AS prompt_hash FROM e GROUP BY pmid",
         "corridor_insert_ignore": w + PAPERS + " SELECT DISTINCT pmid, corridor FROM corridor WHERE pmid >= '5'",
         "missing_ids_anti": w + PAPERS + " SELECT DISTINCT l_orderkey::VARCHAR AS pmid FROM lineitem WHERE l_orderkey::VARCHAR NOT IN (SELECT pmid FROM p WHERE yr <= 1998)",
         "extraction_targets": w + TARGETS + " SELECT pmid FROM targets",
-        "extraction_pending": w + TARGETS + ", " + EXTR + f" SELECT pmid FROM targets WHERE pmid NOT IN (SELECT pmid FROM e WHERE model = '{MODEL}') ORDER BY pmid LIMIT {BUDGET}",
+        "extraction_pending": w + TARGETS + ", " + extracted("o_orderkey % 4 <> 0") + f" SELECT pmid FROM targets WHERE pmid NOT IN (SELECT pmid FROM e WHERE model = '{MODEL}') ORDER BY pmid LIMIT {BUDGET}",
         "extraction_progress": w + TARGETS + """, r AS (SELECT pmid, count(*) AS n FROM (SELECT DISTINCT l_orderkey::VARCHAR AS pmid, p_brand, p_name, p_type FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'R') GROUP BY pmid)
  SELECT count(*)::BIGINT AS targets, count(n)::BIGINT AS extracted, count(*) FILTER (n IS NULL)::BIGINT AS remaining, coalesce(sum(n), 0)::BIGINT AS relations, count(*) FILTER (n > 0)::BIGINT AS papers_with_relations FROM targets LEFT JOIN r ON targets.pmid = r.pmid""",
-        "cost_estimate": f"""WITH s AS (SELECT o_orderkey % 13 <> 0 AS ok, o_orderkey % 17 <> 0 AS pok, o_orderkey % 3 = 0 AS cached, o_orderkey % 5 AS n, o_orderkey % 700 AS i, o_orderkey % 400 AS o FROM orders WHERE o_orderkey < 1000),
+        "cost_estimate": w + TARGETS + f""", papers AS (SELECT count(*)::DOUBLE AS n_papers FROM targets), s AS (SELECT o_orderkey % 13 <> 0 AS ok, o_orderkey % 17 <> 0 AS pok, o_orderkey % 3 = 0 AS cached, o_orderkey % 5 AS n, o_orderkey % 700 AS i, o_orderkey % 400 AS o FROM orders),
  a AS (SELECT count(*) AS attempts, count(*) FILTER (ok) AS successes, count(*) FILTER (ok AND NOT pok) AS parse_failures, count(*) FILTER (ok AND cached) AS cached, count(*) FILTER (ok AND NOT cached) AS fresh, sum(n) FILTER (ok) AS relations, count(*) FILTER (ok AND n > 0) AS with_relations, avg(i) FILTER (ok) AS mean_in, avg(o) FILTER (ok) AS mean_out FROM s)
  SELECT attempts::BIGINT AS attempts, successes::BIGINT AS successes, parse_failures::BIGINT AS parse_failures, cached::BIGINT AS cached, fresh::BIGINT AS fresh, relations::BIGINT AS relations, with_relations::BIGINT AS with_relations, round(mean_in, 6) AS mean_in, round(mean_out, 6) AS mean_out,
- round(mean_in * 2397, 3) AS total_in, round(mean_out * 2397, 3) AS total_out, round((mean_in * 2397 * {PRICES.input_per_million} + mean_out * 2397 * {PRICES.output_per_million}) / 1e6, 6) AS cost,
- round(2397::DOUBLE / {PRICES.requests_per_day}, 6) AS days, round(2397::DOUBLE / {PRICES.requests_per_minute}, 6) AS minutes FROM a""",
+ round(mean_in * n_papers, 3) AS total_in, round(mean_out * n_papers, 3) AS total_out, round((mean_in * n_papers * {PRICES.input_per_million} + mean_out * n_papers * {PRICES.output_per_million}) / 1e6, 6) AS cost,
+ round(n_papers / {PRICES.requests_per_day}, 6) AS days, round(n_papers / {PRICES.requests_per_minute}, 6) AS minutes FROM a, papers""",
     }

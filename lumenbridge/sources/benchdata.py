@@ -37,14 +37,16 @@ CASE o_orderkey % 7
     '}}}}}}') END
 """
 
-#: A part's extraction answer: fenced, plain, no JSON, no list, fenced without a newline.
+#: A part's extraction answer: fenced, plain, no JSON, no list, fenced without a newline, a list with items that are no objects, text after the object.
 ANSWER = """
-CASE p_partkey % 5
+CASE p_partkey % 7
   WHEN 2 THEN concat('no relations in ', p_name)
   WHEN 3 THEN '{"relations": "none"}'
-  ELSE concat(CASE p_partkey % 5 WHEN 0 THEN concat('```json', chr(10)) WHEN 4 THEN '```json ' ELSE '' END,
+  WHEN 5 THEN concat('{"relations":[7,"', p_brand, '",null,["x"],{"subject":"', p_name, '","predicate":"binds","object":"', p_type, '","evidence":"e"},{"subject":"s"}]}')
+  WHEN 6 THEN CASE p_partkey % 2 WHEN 0 THEN '{"relations":[]} trailing' ELSE '{"relations":[]}, {"relations":[]}' END
+  ELSE concat(CASE p_partkey % 7 WHEN 0 THEN concat('```json', chr(10)) WHEN 4 THEN '```json ' ELSE '' END,
     '{"relations":[{"subject":" ', p_name, '","predicate":"inhibits","object":"', p_type, '","evidence":""},{"subject":"', p_brand, '","predicate":"  ","object":"x","evidence":"e"}]}',
-    CASE p_partkey % 5 WHEN 0 THEN concat(chr(10), '```') WHEN 4 THEN '```' ELSE '' END) END
+    CASE p_partkey % 7 WHEN 0 THEN concat(chr(10), '```') WHEN 4 THEN '```' ELSE '' END) END
 """
 
 
@@ -82,9 +84,10 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_orderkey").cast("string").alias("pmid"), F.col("l_partkey").cast("string").alias("partkey"), F.concat_ws(" ", "p_brand", "p_name").alias("term"), "p_type", (F.col("l_returnflag") == "R").alias("mentioned"))
 
 
-def terms(spark: SparkSession, sf_dir: str, term: str = "term") -> DataFrame:
-    """(pmid, term, grounded): grounded by the mention flag of a line."""
-    return lines(spark, sf_dir).groupBy("pmid", F.col(term).alias("term")).agg(F.max("mentioned").alias("grounded"))
+def terms(spark: SparkSession, sf_dir: str, term: str = "term", without: tuple[str, ...] = ()) -> DataFrame:
+    """(pmid, term, grounded): grounded by the mention flag of a line; the terms ``without`` (anchors) are left out, whatever column names them."""
+    rows = lines(spark, sf_dir)
+    return (rows.filter(~F.col("term").isin(*without)) if without else rows).groupBy("pmid", F.col(term).alias("term")).agg(F.max("mentioned").alias("grounded"))
 
 
 def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,9 +103,10 @@ def synonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.select(term.alias("descriptor"), F.array(term, F.col("p_name")).alias("forms")).distinct()
 
 
-def extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(pmid, model, prompt_hash, payload, created_at): some papers have two."""
-    orders = table(spark, sf_dir, "orders").filter(F.col("o_orderkey") % 4 != 0)
+def extractions(spark: SparkSession, sf_dir: str, gaps: bool = False) -> DataFrame:
+    """(pmid, model, prompt_hash, payload, created_at): some papers have two; with ``gaps``, a quarter of them has none yet."""
+    orders = table(spark, sf_dir, "orders")
+    orders = orders.filter(F.col("o_orderkey") % 4 != 0) if gaps else orders
     n = F.when(F.col("o_orderkey") % 5 == 0, 2).otherwise(1)
     rows = orders.withColumn("try", F.explode(F.sequence(F.lit(1), n)))
     return rows.select(
