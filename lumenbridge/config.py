@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import json
+import os
+from dataclasses import dataclass, field, fields
 
 
 @dataclass(frozen=True)
@@ -68,5 +70,33 @@ class Study:
         return tuple(dict.fromkeys((*self.anchors_a, *self.anchors_c)))
 
 
+def load_study(path: str) -> Study:
+    """A study from a JSON file whose keys are the fields' names; splits are given by dates, known terms by label and hint."""
+    with open(path, encoding="utf-8") as f:
+        given = json.load(f)
+    unknown = set(given) - {f.name for f in fields(Study)}
+    if unknown:
+        raise ValueError(f"unknown settings: {', '.join(sorted(unknown))}")
+    lists = lambda d: {k: tuple(v) if isinstance(v, list) else v for k, v in d.items()}
+    return Study(**lists(given) | {
+        "splits": tuple(Split.from_dates(s["name"], s["cutoff"], s["first"], s["last"]) for s in given.get("splits", [])),
+        "known": tuple(KnownTerm(**k) for k in given.get("known", [])),
+        "ranking": Ranking(**lists(given.get("ranking", {}))), "prices": Prices(**given.get("prices", {})),
+    })
+
+
+def secret(name: str, path: str = ".env") -> str | None:
+    """A secret from the environment, else from a file of NAME=value lines; never part of a plan or a log."""
+    if os.environ.get(name):
+        return os.environ[name]
+    if os.path.exists(path):
+        with open(path, encoding="utf-8") as f:
+            for line in f:
+                key, found, value = line.strip().partition("=")
+                if found and key.removeprefix("export ").strip() == name:
+                    return value.strip().strip("\"'") or None
+    return None
+
+
 class MissingExtractions(RuntimeError):
     """A grounded evaluation was asked for, and the model has no extractions."""

@@ -60,13 +60,14 @@ def descriptors(headings: Column) -> Column:
     return F.coalesce(F.array_distinct(F.filter(names, lambda n: n.isNotNull() & (n != ""))), F.array().cast("array<string>"))
 
 
-def parse_articles(raw: DataFrame, json_col: str = "raw") -> DataFrame:
-    """pmid, pub_date, pub_year, journal, title, abstract, descriptors of every record with an id and an article."""
+def parse_articles(raw: DataFrame, json_col: str = "raw", keep_raw: bool = False) -> DataFrame:
+    """pmid, pub_date, pub_year, journal, title, abstract, descriptors (and the record, as ``raw``) of every record with an id and an article."""
     record = F.from_json(F.col(json_col), ARTICLE)["MedlineCitation"]
-    rows = raw.select(record.alias("r")).filter(F.col("r.PMID").isNotNull() & F.col("r.Article").isNotNull())
+    rows = raw.select(record.alias("r"), F.col(json_col).alias("raw")).filter(F.col("r.PMID").isNotNull() & F.col("r.Article").isNotNull())
     date = F.col("r.Article.Journal.JournalIssue.PubDate")
     when, year = pub_date(date["Year"], date["Month"], date["Day"], date["MedlineDate"], F.col("r.DateCompleted.Year"), F.col("r.DateRevised.Year"))
     return rows.select(
         F.col("r.PMID").alias("pmid"), when.alias("pub_date"), year.alias("pub_year"), F.col("r.Article.Journal.Title").alias("journal"),
         F.col("r.Article.ArticleTitle").alias("title"), abstract_of(F.col("r.Article.Abstract.AbstractText")).alias("abstract"), descriptors(F.col("r.MeshHeadingList")).alias("descriptors"),
+        *([F.col("raw")] if keep_raw else []),
     )

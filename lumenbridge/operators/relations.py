@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import Protocol
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import MissingExtractions, Prices
@@ -17,6 +17,18 @@ class RelationSource(Protocol):
     def relations_for(self, papers: DataFrame) -> DataFrame: ...
 
 
+class EntitySource(Protocol):
+    """Anything that gives (pmid, term) for papers (pmid): which terms a paper has."""
+
+    def terms_for(self, papers: DataFrame) -> DataFrame: ...
+
+
+class RankingMetric(Protocol):
+    """A score of a candidate as a Column, from its counts on both sides and the sides' sizes."""
+
+    def __call__(self, a: Column, c: Column, n_a: Column, n_c: Column) -> Column: ...
+
+
 class TableSource:
     """Relations from the stored extractions of one model."""
 

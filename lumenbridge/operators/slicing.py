@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Ranking, Split
+from .relations import RankingMetric
 
 
 def _exploded(inc_agg: DataFrame, splits: tuple[Split, ...], names: tuple[str, ...]) -> DataFrame:
@@ -62,12 +63,12 @@ def pmi(a: Column, c: Column, n_a: Column, n_c: Column) -> Column:
     return F.when((n_a > 0) & (n_c > 0) & (a + c > 0), F.round(side(a, n_a) + side(c, n_c), 9)).otherwise(F.lit(0.0))
 
 
-def scored(slices: DataFrame, grounded: bool = True) -> DataFrame:
-    """(split, method, term, score, hit_count) of closed candidates by every scored method."""
+def scored(slices: DataFrame, grounded: bool = True, metric: RankingMetric = pmi) -> DataFrame:
+    """(split, method, term, score, hit_count) of closed candidates by every scored method; ``metric`` takes the place of PMI."""
     a, c, n_a, n_c = (F.col(x) for x in ("a_pre", "c_pre", "n_a", "n_c"))
-    methods = [("pmi", pmi(a, c, n_a, n_c)), ("frequency", (a + c).cast("double"))]
+    methods = [("pmi", metric(a, c, n_a, n_c)), ("frequency", (a + c).cast("double"))]
     if grounded:
-        methods.insert(0, ("grounded", pmi(F.col("ga_pre"), F.col("gc_pre"), n_a, n_c)))
+        methods.insert(0, ("grounded", metric(F.col("ga_pre"), F.col("gc_pre"), n_a, n_c)))
     return _by_method(slices.withColumn("hit_count", F.least("a_post", "c_post")), methods)
 
 
