@@ -47,10 +47,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .common import TO_LOWER, discard, discard_path, materialise, table
-from .exchange import STORE, answers_of, chunk_store, dump, exchange, load, mix64, over_chunks, shards_for, to_shards
+from .exchange import STORE, answers_of, chunk_store, dump, exchange, mix64, over_chunks, shards_for, summed, to_shards
 
 FOLDS, OUT = 7, 2
 #: Discount and strength of contexts and of the parent.
@@ -505,19 +504,5 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return over_chunks(store, _finish(counts, n, v, states[rounds:]), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
 
 
-def summed(spark: SparkSession, path: str, size: int) -> list[float]:
-    """Sums of the ``size`` numbers that each shard of an exchange says of all."""
-    there = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/slot=*"))
-    if not len(there):  # nothing was asked
-        return [0.0] * size
-
-    def opened(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([list(load(x)) for x in batch.column("blob").to_pylist()], pa.list_(pa.float64()))], ["x"])
-
-    said = spark.read.parquet(path).filter("chunk = -1").select("blob").mapInArrow(opened, "x array<double>")
-    return list(said.agg(*[F.coalesce(F.sum(F.col("x")[k]), F.lit(0.0)).alias(f"x{k}") for k in range(size)]).first())
-
-
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(table(spark, sf_dir, "documents"))

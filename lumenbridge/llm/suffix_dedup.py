@@ -4,24 +4,28 @@
    64-grams (the leftmost of equal ones). Equal windows have the same smallest
    64-gram at the same offset, so only windows under one anchor hash can be
    equal. Runs of windows under one anchor occurrence are its *context*.
-2. *Exchange.* Shards of anchor hashes see (hash, context hash, place). A hash
-   met once holds no repeat. A context met twice repeats in all its windows.
-   What is left are different contexts under one hash: edges of longer repeats.
-3. *Suffix arrays.* The texts of those contexts, one of each, go to shards of
-   the hash. There a difference-cover suffix array (mod 3) of them is built:
-   sampled triples are sorted and named, names are recursed on until they are
-   unique, remaining suffixes are merged in, and 200-byte prefixes of
-   neighbouring windows in it are compared.
-4. A hash with over ``HOT`` different contexts (a passage in very many
-   documents) isn't sorted in one shard: its windows go, by a hash of their 200
-   bytes, to shards of that hash, where equal ones meet.
+2. *First exchange.* A chunk sends each of its different contexts once, with
+   the number of its copies, to the shard of its anchor hash. An anchor met once
+   in all holds no repeat. The others are asked for. Nothing is removed yet:
+   hashes only tell which texts can't repeat.
+3. *Second exchange: suffix arrays and comparisons.* The bytes of the contexts
+   asked for go to shards of the anchor hash, each different one of a chunk
+   once. Copies are compared byte by byte; a copy repeats in all its windows.
+   Different contexts under one anchor are edges of longer repeats: a
+   difference-cover suffix array (mod 3) of them is built: sampled triples are
+   sorted and named, names are recursed on until they are unique, remaining
+   suffixes are merged in, and 200-byte prefixes of neighbours are compared.
+4. *Third exchange, for hot anchors only.* An anchor with over ``HOT`` different
+   contexts (a passage in very many documents) isn't sorted in one shard. Its
+   windows are spread by a hash of their 200 bytes; the bytes of those whose
+   hash is met again are sorted in shards of that hash, neighbours compared.
 
 All windows are judged on the input. Texts are never shuffled whole.
 
-Defined cases: a null text is empty; texts under 200 bytes lose nothing;
-repeats inside one document count, overlapping ones too; repeated rows repeat
-each other; ids may be null; an empty table gives no rows; other columns are
-ignored.
+Defined cases: a null text is empty; texts under 200 bytes lose nothing; very
+long texts are a chunk of their own; repeats inside one document count,
+overlapping ones too; repeated rows repeat each other; ids may be null; an
+empty table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -32,8 +36,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
-from .exchange import answers_of, chunk_store, exchange, mix64, over_chunks, shards_for, to_shards
+from .common import discard_path, table
+from .exchange import answers_of, chunk_store, exchange, mix64, over_chunks, shards_for, summed, to_shards
 
 LENGTH, GRAM = 200, 64
 #: Different contexts under a hash beyond which its windows are spread by their own hash.
@@ -197,110 +201,251 @@ def _split(keys: np.ndarray, shards: int, *arrays: np.ndarray):
             yield k, tuple(a[by[cut[k]: cut[k + 1]]] for a in arrays)
 
 
+def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order by the keys (the first leads), and the number of each row's group in that order."""
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(len(order), dtype=bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[order][1:] != k[order][:-1]
+    return order, np.cumsum(new) - 1
+
+
+def _ragged(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places begin, begin + 1, ... of each stretch, in a row."""
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
+def _ask_contexts(shards: int):
+    """Of each shard: anchor hashes, context hashes, copies and windows of the chunk's different contexts, and the places of all copies."""
+
+    def ask(_, packed):
+        _, bounds, text = _open(packed)
+        h, c, s, w = contexts(text, bounds)
+        order, group = _groups(h, c)
+        n = np.bincount(group) if len(group) else np.zeros(0, dtype=np.int64)
+        first = order[np.cumsum(n) - n]
+        places, begin = s[order].astype(np.uint32), np.cumsum(n) - n
+        for shard, (k,) in _split(h[first], shards, np.arange(len(first))):
+            yield shard, (h[first[k]], c[first[k]], n[k].astype(np.uint32), w[first[k]].astype(np.uint8), places[_ragged(begin[k], n[k])])
+
+    return ask
+
+
+def _joined(asked, *which: int) -> list[np.ndarray]:
+    return [np.concatenate([q[k] for _, q in asked]) for k in which]
+
+
 def _judge(asked):
-    """Contexts of a shard: whole repeats, and those whose texts must be compared."""
-    owner = np.repeat(np.arange(len(asked)), [len(x[1][0]) for x in asked])
-    h, c, s, w = (np.concatenate([x[1][k] for x in asked]) for k in range(4))
-    by = np.lexsort((c, h))
-    h, c, s, w, owner = h[by], c[by], s[by], w[by], owner[by]
-    new_h = np.concatenate(([True], h[1:] != h[:-1]))
-    new_c = new_h | np.concatenate(([True], c[1:] != c[:-1]))
-    group_c, group_h = np.cumsum(new_c) - 1, np.cumsum(new_h) - 1
-    copies = np.bincount(group_c)[group_c]
-    kinds = np.bincount(group_h[new_c])[group_h]
-    covered, compare = copies > 1, (kinds > 1) & new_c
-    out = []
-    for k, (chunk, _) in enumerate(asked):
-        own = owner == k
-        a, b = own & covered, own & compare
-        if a.any() or b.any():
-            out.append((chunk, (s[a], w[a].astype(np.uint8), h[b], s[b], w[b].astype(np.uint8), copies[b] > 1, kinds[b] > HOT)))
+    """Contexts of a shard that can repeat, to those that hold them."""
+    h, c, n = _joined(asked, 0, 1, 2)
+    order, group = _groups(h, c)
+    copies = np.empty(len(h), dtype=np.int64)
+    copies[order] = np.bincount(group, weights=n[order])[group]
+    by_h = _groups(h[order])[1]
+    new = np.append(True, group[1:] != group[:-1])
+    kinds = np.empty(len(h), dtype=np.int64)
+    kinds[order] = np.bincount(by_h, weights=new)[by_h]
+    asks, hot, at, out = (copies > 1) | (kinds > 1), kinds > HOT, 0, [(-1, (float((kinds > HOT).any()),))]
+    for chunk, (h_, c_, n_, w_, s_) in asked:
+        own = asks[at: at + len(h_)]
+        if own.any():
+            out.append((chunk, (h_[own], c_[own], n_[own], w_[own], s_[np.repeat(own, n_)], hot[at: at + len(h_)][own])))
+        at += len(h_)
+    return out
+
+
+def _wanted(first: str, chunk: int, hot: bool):
+    """The chunk's contexts that a first exchange asks for: of hot anchors, or of the others."""
+    found = [x for _, x in answers_of(first, chunk)]
+    if not found:
+        return None
+    h, c, n, w, s, is_hot = (np.concatenate([x[k] for x in found]) for k in range(6))
+    own = is_hot == hot
+    return (h[own], c[own], n[own].astype(np.int64), w[own].astype(np.int64), s[np.repeat(own, n)].astype(np.int64)) if own.any() else None
+
+
+def _same(text: np.ndarray, begin: np.ndarray, other: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether stretches of ``text`` equal others of the same sizes, byte by byte."""
+    out = np.ones(len(begin), dtype=bool)
+    for i in range(0, len(begin), 4096):
+        k = slice(i, i + 4096)
+        differ = text[_ragged(begin[k], size[k])] != text[_ragged(other[k], size[k])]
+        at = np.cumsum(size[k]) - size[k]
+        if len(at):
+            out[k] = ~np.logical_or.reduceat(differ, at)
     return out
 
 
+def _shipped(h, c, n, w, s, text):
+    """Contexts with the places of their copies, split where a copy's bytes aren't the first one's (hashes that collide)."""
+    group = np.repeat(np.arange(len(n)), n)
+    first = s[np.cumsum(n) - n][group]
+    odd = ~_same(text, s, first, w[group] + LENGTH - 1)
+    if odd.any():
+        key = np.where(odd, len(n) + np.arange(len(s)), group)
+        order, number = _groups(key)
+        s, group, n = s[order], group[order], np.bincount(number)
+        take = group[np.cumsum(n) - n]
+        h, c, w = h[take], c[take], w[take]
+    return h, c, n, w, s
+
+
 def _ask_texts(first: str, shards: int):
-    """Send texts of contexts to compare to shards of their anchor, hot ones' windows to shards of their own hash."""
+    """Bytes of contexts to shards of their anchor; of hot anchors, hashes of windows to shards of their own."""
 
     def ask(chunk, packed):
-        found = [x for _, x in answers_of(first, chunk)]
-        if not found:
-            return
-        h, s, w, double, hot = (np.concatenate([x[k] for x in found]) for k in range(2, 7))
-        if not len(h):
-            return
         _, _, text = _open(packed)
-        w = w.astype(np.int64)
         questions: dict[int, list] = {}
-        cool = ~hot
-        for shard, (h_, s_, w_, d_) in _split(h[cool], shards, h[cool], s[cool], w[cool], double[cool]):
-            size = w_ + LENGTH - 1
-            at = np.repeat(s_ - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            questions.setdefault(shard, [None, None])[0] = (s_, w_.astype(np.uint8), d_, text[at].tobytes(), h_)
-        if hot.any():
-            many = w[hot]
-            start = np.repeat(s[hot] - (np.cumsum(many) - many), many) + np.arange(many.sum())
-            key = np.empty(len(start), dtype=np.uint64)
-            for i in range(0, len(text), PIECE):  # running sums of a piece at a time
-                own = (start >= i) & (start < i + PIECE)
-                if own.any():
-                    key[own] = Prefix(text[i: i + PIECE + LENGTH]).of(start[own] - i, start[own] - i + LENGTH)
-            for shard, (k_, s_, d_) in _split(key, shards, key, start, np.repeat(double[hot], many)):
-                questions.setdefault(shard, [None, None])[1] = (k_, s_, d_)
+        found = _wanted(first, chunk, False)
+        if found:
+            h, c, n, w, s = _shipped(*found, text)
+            begin = np.cumsum(n) - n
+            for shard, (k,) in _split(h, shards, np.arange(len(h))):
+                at = _ragged(s[begin[k]], w[k] + LENGTH - 1)
+                questions.setdefault(shard, [None, None])[0] = (h[k], c[k], n[k].astype(np.uint32), w[k].astype(np.uint8), s[_ragged(begin[k], n[k])].astype(np.uint32), text[at].tobytes())
+        key, start = _hot_windows(first, chunk, text)
+        if len(key):
+            every, n = np.unique(key, return_counts=True)
+            for shard, (k_, n_) in _split(every, shards, every, n):
+                questions.setdefault(shard, [None, None])[1] = (k_, n_)
         yield from questions.items()
 
     return ask
 
 
+def _hot_windows(first: str, chunk: int, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and place of each window under a hot anchor."""
+    found = _wanted(first, chunk, True)
+    if not found:
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+    _, _, n, w, s = found
+    start = np.sort(_ragged(s, np.repeat(w, n)))
+    key = np.empty(len(start), dtype=np.uint64)
+    for i in range(0, len(text), PIECE):  # running sums of a piece at a time
+        a, b = np.searchsorted(start, (i, i + PIECE))
+        if b > a:
+            key[a:b] = Prefix(text[i: i + PIECE + LENGTH]).of(start[a:b] - i, start[a:b] - i + LENGTH)
+    return key, start
+
+
 def _compare(asked):
-    """Windows of a shard that repeat: (chunk, starts)."""
-    out: dict[int, list[np.ndarray]] = {}
+    """To each chunk: contexts that repeat whole (places and numbers of windows), single windows that repeat, and hashes of hot windows met again."""
+    out: dict[int, list] = {}
+
+    def give(chunk, kind, x):
+        out.setdefault(chunk, [[], [], [], []])[kind].append(x)
+
     texts = [(chunk, q[0]) for chunk, q in asked if q[0]]
     if texts:
-        text = np.frombuffer(b"".join(q[3] for _, q in texts), dtype=np.uint8)
+        text = np.frombuffer(b"".join(q[5] for _, q in texts), dtype=np.uint8)
         owner = np.repeat(np.arange(len(texts)), [len(q[0]) for _, q in texts])
-        s, double, h = (np.concatenate([q[k] for _, q in texts]) for k in (0, 2, 4))
-        w = np.concatenate([q[1] for _, q in texts]).astype(np.int64)
+        h, c, n, w, places = _joined(texts, 0, 1, 2, 3, 4)
+        n, w = n.astype(np.int64), w.astype(np.int64)
         size = w + LENGTH - 1
-        base = np.cumsum(size) - size
-        by = np.argsort(h, kind="stable")
-        last = np.flatnonzero(np.append(h[by][1:] != h[by][:-1], True)) + 1  # ends of the hashes' contexts
-        filled, done = np.cumsum(size[by]), 0
-        while done < len(by):
+        base, begin = np.cumsum(size) - size, np.cumsum(n) - n
+        order, group = _groups(h, c)
+        lead = order[np.flatnonzero(np.append(True, group[1:] != group[:-1]))][group]  # the first context of each row's group
+        alike = (size[order] == size[lead]) & _same(text, base[order], base[lead], np.minimum(size[order], size[lead]))
+        group = np.where(alike, group, group.max() + 1 + np.arange(len(group)))  # colliding hashes: a context of its own
+        copies = np.zeros(int(group.max()) + 1, dtype=np.int64)
+        np.add.at(copies, group, n[order])
+        whole = np.empty(len(h), dtype=bool)
+        whole[order] = copies[group] > 1
+        # one of each different context, by anchor
+        own = order[np.unique(group, return_index=True)[1]]
+        own = own[np.argsort(h[own], kind="stable")]
+        kinds = np.bincount(_groups(h[own])[1])
+        own = own[np.repeat(kinds > 1, kinds)]
+        last = np.flatnonzero(np.append(h[own][1:] != h[own][:-1], True)) + 1 if len(own) else np.zeros(0, dtype=np.int64)  # ends of the anchors' contexts
+        filled, done = np.cumsum(size[own]), 0
+        while done < len(own):
             upto = max(done, int(np.searchsorted(filled, (filled[done - 1] if done else 0) + BATCH)))
             end = int(last[min(len(last) - 1, np.searchsorted(last, upto, side="left"))])
-            own, done = by[done:end], end
-            m = size[own]
+            some, done = own[done:end], end
+            m = size[some]
             inner = np.cumsum(m) - m
-            part = text[np.arange(m.sum()) + np.repeat(base[own] - inner, m)]
-            number = np.repeat(np.arange(len(own)), w[own])
-            inside = np.arange(len(number)) - np.repeat(np.cumsum(w[own]) - w[own], w[own])
-            keep = repeated_windows(part, inner[number] + inside) & ~double[own][number]  # contexts met twice are covered already
-            at, to = s[own][number][keep] + inside[keep], owner[own][number][keep]
+            part = text[_ragged(base[some], m)]
+            number = np.repeat(np.arange(len(some)), w[some])
+            inside = np.arange(len(number)) - np.repeat(np.cumsum(w[some]) - w[some], w[some])
+            keep = repeated_windows(part, inner[number] + inside) & ~whole[some][number]  # contexts met twice are covered already
+            at, to = places[begin[some]][number][keep].astype(np.int64) + inside[keep], owner[some][number][keep]
             for k in np.unique(to).tolist():
-                out.setdefault(texts[k][0], []).append(at[to == k])
+                give(texts[k][0], 2, at[to == k])
+        for k, (chunk, q) in enumerate(texts):
+            mine = whole[owner == k]
+            if mine.any():
+                give(chunk, 0, q[4][np.repeat(mine, q[2])].astype(np.int64))
+                give(chunk, 1, np.repeat(q[3], q[2])[np.repeat(mine, q[2])].astype(np.int64))
     windows = [(chunk, q[1]) for chunk, q in asked if q[1]]
     if windows:
-        owner = np.repeat(np.arange(len(windows)), [len(q[0]) for _, q in windows])
-        key, s, double = (np.concatenate([q[k] for _, q in windows]) for k in range(3))
-        group = np.unique(key, return_inverse=True)[1]
-        keep = (np.bincount(group)[group] > 1) & ~double
-        for k, (chunk, _) in enumerate(windows):
-            own = keep & (owner == k)
-            if own.any():
-                out.setdefault(chunk, []).append(s[own])
-    return [(chunk, np.concatenate(x)) for chunk, x in out.items()]
-
-
-def _finish(first: str, second: str):
+        key, n = _joined(windows, 0, 1)
+        every, which = np.unique(key, return_inverse=True)
+        again, at = np.bincount(which, weights=n)[which] > 1, 0
+        for chunk, (k, _) in windows:
+            mine = again[at: at + len(k)]
+            if mine.any():
+                give(chunk, 3, k[mine])
+            at += len(k)
+    kinds = (np.int64, np.int64, np.int64, np.uint64)
+    return [(chunk, tuple(np.concatenate(x) if x else np.zeros(0, dtype=t) for x, t in zip(found, kinds))) for chunk, found in out.items()]
+
+
+def _ask_windows(first: str, second: str, shards: int):
+    """Bytes of the hot windows whose hash is met again, each different one of a chunk once, and the places of all."""
+
+    def ask(chunk, packed):
+        again = [x[3] for _, x in answers_of(second, chunk) if len(x[3])]
+        if not again:
+            return
+        _, _, text = _open(packed)
+        key, start = _hot_windows(first, chunk, text)
+        own = np.isin(key, np.concatenate(again))
+        key, start = key[own], start[own]
+        order, group = _groups(key)
+        n = np.bincount(group)
+        key, _, n, _, start = _shipped(key[order[np.cumsum(n) - n]], key[:len(n)], n, np.ones(len(n), dtype=np.int64), start[order], text)
+        begin = np.cumsum(n) - n
+        for shard, (k,) in _split(key, shards, np.arange(len(key))):
+            yield shard, (n[k].astype(np.uint32), start[_ragged(begin[k], n[k])].astype(np.uint32), text[_ragged(start[begin[k]], np.full(len(k), LENGTH))].tobytes())
+
+    return ask
+
+
+def _sort_windows(asked):
+    """Places of the windows that equal another one: the windows' bytes are sorted, neighbours compared."""
+    rows = np.frombuffer(b"".join(q[2] for _, q in asked), dtype=np.uint8).reshape(-1, LENGTH)
+    n = np.concatenate([q[0] for _, q in asked]).astype(np.int64)
+    order = np.lexsort(rows.reshape(len(rows), -1, 8).view(">u8")[:, ::-1, 0].T)
+    new = np.append(True, (rows[order][1:] != rows[order][:-1]).any(axis=1))
+    group = np.cumsum(new) - 1
+    again = np.empty(len(rows), dtype=bool)
+    again[order] = np.bincount(group, weights=n[order])[group] > 1
+    out, at = [], 0
+    for chunk, (k, places, _) in asked:
+        mine = again[at: at + len(k)]
+        if mine.any():
+            out.append((chunk, places[np.repeat(mine, k)].astype(np.int64)))
+        at += len(k)
+    return out
+
+
+def _finish(second: str, third: str | None):
     def work(chunk, packed):
         ids, bounds, text = _open(packed)
         reach = np.zeros(len(text) + 1, dtype=np.int32)  # +1 where windows begin to cover, -1 where they end
-        for _, x in answers_of(first, chunk):
-            np.add.at(reach, x[0], 1)
-            np.add.at(reach, x[0] + x[1] + (LENGTH - 1), -1)
-        for _, starts in answers_of(second, chunk):
-            np.add.at(reach, starts, 1)
-            np.add.at(reach, starts + LENGTH, -1)
+
+        def cover(begin, end):
+            for at, by in ((begin, 1), (end, -1)):
+                if len(at):
+                    places, times = np.unique(at, return_counts=True)
+                    reach[places] += by * times.astype(np.int32)
+
+        for _, (s, w, single, _) in answers_of(second, chunk):
+            cover(s, s + w + (LENGTH - 1))
+            cover(single, single + LENGTH)
+        for _, starts in answers_of(third, chunk) if third else ():
+            cover(starts, starts + LENGTH)
         gone = np.cumsum(reach[:-1]) > 0
         sizes = np.diff(bounds)
         removed, spans, sums = [], [], []
@@ -319,14 +464,12 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     store = chunk_store(docs, id_col, text_col, _pack, "suffix-chunks")
     shards = shards_for(store, PER_SHARD)
 
-    def ask(chunk, packed):
-        _, bounds, text = _open(packed)
-        h, c, s, w = contexts(text, bounds)
-        yield from _split(h, shards, h, c, s.astype(np.uint32), w.astype(np.uint8))
-
-    first = exchange(store, ask, _judge, "suffix-anchors", shards)
+    first = exchange(store, _ask_contexts(shards), _judge, "suffix-anchors", shards)
     second = exchange(store, _ask_texts(first, shards), _compare, "suffix-texts", shards)
-    return over_chunks(store, _finish(first, second), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    any_hot = summed(docs.sparkSession, first, 1)[0]
+    third = exchange(store, _ask_windows(first, second, shards), _sort_windows, "suffix-windows", shards) if any_hot else None
+    discard_path(docs.sparkSession, first)
+    return over_chunks(store, _finish(second, third), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

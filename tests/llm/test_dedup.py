@@ -152,3 +152,33 @@ def test_suffix_dedup(docs, rows, chunk, batch, hot, monkeypatch):
 
 def test_suffix_empty(none):
     assert suffix_dedup.dedup(none).count() == 0
+
+
+@pytest.mark.parametrize("bits", [0, 1, 64])
+@pytest.mark.parametrize("hot", [3000, 2])
+def test_suffix_dedup_when_hashes_collide(rows, hot, bits, monkeypatch):
+    """Hashes of contexts and windows only tell which bytes to compare: with hashes of few bits the result is the same."""
+    sd, own = suffix_dedup, suffix_dedup.Prefix.of
+    monkeypatch.setattr(sd, "HOT", hot)
+    monkeypatch.setattr(sd, "BATCH", 5_000)
+    monkeypatch.setattr(sd.Prefix, "of", lambda self, b, e: own(self, b, e) & np.uint64((1 << bits) - 1))
+    answers = {}
+    monkeypatch.setattr(sd, "answers_of", lambda path, chunk: answers[path].get(chunk, []))
+    texts = [(r[1] or "").encode() for r in rows]
+    packed = {k: sd._pack(list(range(k, len(texts), 3)), texts[k::3])[1] for k in range(3)}
+
+    def passed(ask, answer, path):
+        asked, answers[path] = {}, {}
+        for chunk, x in packed.items():
+            for shard, q in ask(chunk, x):
+                asked.setdefault(shard, []).append((chunk, q))
+        for shard, q in sorted(asked.items()):
+            for chunk, x in answer(q):
+                answers[path].setdefault(chunk, []).append((shard, x))
+
+    passed(sd._ask_contexts(4), sd._judge, "first")
+    passed(sd._ask_texts("first", 4), sd._compare, "second")
+    passed(sd._ask_windows("first", "second", 4), sd._sort_windows, "third")
+    got = [tuple(r.values()) for k, x in packed.items() for b in sd._finish("second", "third")(k, x) for r in b.to_pylist()]
+    assert (answers["third"] != {}) == (hot == 2)
+    assert Counter(got) == Counter((i, *w) for i, w in enumerate(brute_removed(texts)))

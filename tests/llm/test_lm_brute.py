@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 
+from lumenbridge.llm import exchange
 from lumenbridge.llm import lm_scoring as lm
 
 TEXTS = ["a b a b c", "a b c d", "b a b a b a", "c a b", "d d d d d d a", "a b e", "", "f a b"]
@@ -86,7 +87,7 @@ def sweeps_in_process(monkeypatch, rounds=20, sweeps=400):
     (_, (known,)), (_, counts) = lm._answer_counts([(0, q) for _, q in lm._ask_counts(1)(0, packed)])
     store["counts"] = [(0, counts)]
     n, v = float(sum(len(t.split()) + 1 for t in TEXTS)), known
-    kept = lm.load(next(lm._seats("counts")(0, packed)).column("payload")[0].as_py())
+    kept = exchange.load(next(lm._seats("counts")(0, packed)).column("payload")[0].as_py())
     states = [lm.State(0)]
     for sweep in range(1, rounds + sweeps + 1):
         (_, said), (_, tables) = lm._answer_tables(v, states[-1])([(0, q) for _, q in lm._ask_tables(1, n, v, states[-1])(0, kept)])
