@@ -7,6 +7,13 @@ a hash) one packed blob of keys; the shard answers each chunk with one blob,
 and the answers are written by chunk into the shared folder, where later passes
 over the chunk table look up their own. Only packed keys and answers move.
 
+With over ``FAN`` shards, every chunk would send as many tiny blobs, and get as
+many back. Then blobs travel in two steps, over groups of about the root of
+that many shards: a chunk sends a group one blob, tasks that hold a group's
+blobs of some chunks deal them to the group's shards, and the answers come back
+over groups of chunks in the same way. So blobs keep their size while their
+number grows with the input to the power of 1.5, not 2.
+
 Chunk rows are durable, so a retried task or a lost executor sees the same
 chunks. The shared folder is opened from Python through ``pyarrow.fs``, which
 takes local and mounted folders as well as the usual object stores' URIs.
@@ -14,6 +21,7 @@ takes local and mounted folders as well as the usual object stores' URIs.
 
 from __future__ import annotations
 
+import math
 import pickle
 import uuid
 from collections.abc import Callable, Iterator
@@ -32,6 +40,8 @@ CHUNK_BYTES = 6_000_000
 #: The answers are dealt to files sorted by chunk, of about so many chunks each but to SLOTS files at least.
 PER_SLOT, SLOTS = 16, 24
 STORE = "chunk long, size long, payload binary"
+#: The most shards that chunks send to, and hear from, directly.
+FAN = 1000
 
 
 def dump(x) -> bytes:
@@ -79,35 +89,80 @@ def over_chunks(store: DataFrame, work: Callable[[int, object], Iterator[pa.Reco
     return store.select("chunk", "payload").mapInArrow(run, schema)
 
 
-def exchange(store: DataFrame, ask: Callable[[int, object], Iterator[tuple[int, object]]], answer: Callable[[list[tuple[int, object]]], list[tuple[int, object]]], label: str, shards: int | None = None) -> str:
+ROUTED = "to long, source long, blob binary"
+
+
+def _routed(to: list[int], source: list[int], blobs: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array(source, pa.int64()), pa.array([dump(x) for x in blobs], pa.binary())], ["to", "source", "blob"])
+
+
+def _opened(group: pa.Table) -> list:
+    """The items of a group's blobs (lists), in the order of their sources."""
+    order = np.argsort(group.column("source").to_numpy(), kind="stable").tolist()
+    return [x for k in order for x in load(group.column("blob")[k].as_py())]
+
+
+def _dealt(rows: DataFrame, sources: int, groups: int) -> DataFrame:
+    """Second step of a route: items (final address, source, content) that share a group and a few sources go on as one blob to each address."""
+
+    def deal(group: pa.Table) -> pa.Table:
+        by: dict[int, list] = {}
+        for to, source, x in _opened(group):
+            by.setdefault(to, []).append((source, x))
+        some = group.column("source").to_numpy().min() if len(group) else 0
+        return pa.Table.from_batches([_routed([*by], [int(some)] * len(by), [*by.values()])])
+
+    bucket = F.pmod(F.xxhash64("source"), F.lit(max(1, -(-sources // groups))))
+    return rows.withColumn("bucket", bucket).groupBy("to", "bucket").applyInArrow(deal, ROUTED)
+
+
+def exchange(store: DataFrame, ask: Callable[[int, object], Iterator[tuple[int, object]]], answer: Callable[[list[tuple[int, object]]], list[tuple[int, object]]], label: str, shards: int, tasks: int | None = None) -> str:
     """Ask the shards and write their answers by chunk; the path is returned.
 
-    ``ask(chunk, object)`` gives (shard, question)s; ``answer`` takes the
-    (chunk, question)s of one shard and gives (chunk, answer)s, where chunk -1
-    is for what concerns all. With ``shards``, that many tasks answer, whatever
-    the size of the questions: for answers that take long for their bytes.
+    ``ask(chunk, object)`` gives (shard, question)s, shards numbered below
+    ``shards``; ``answer`` takes the (chunk, question)s of one shard and gives
+    (chunk, answer)s, where chunk -1 is for what concerns all. With ``tasks``,
+    that many tasks answer, whatever the size of the questions: for answers
+    that take long for their bytes.
     """
-    spark = store.sparkSession
+    spark, chunks = store.sparkSession, store.count()
+    slots = max(SLOTS, chunks // PER_SLOT)
+    wide, groups, slot_groups = shards > FAN, math.isqrt(shards) + 1, math.isqrt(slots) + 1
+
+    def grouped(items: list, of: Callable[[int], int]) -> dict[int, list]:
+        """(address, content)s by the group of their address."""
+        by: dict[int, list] = {}
+        for to, x in items:
+            by.setdefault(of(to), []).append((to, x))
+        return by
 
     def asked(chunk, packed):
-        for shard, question in ask(chunk, packed):
-            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([chunk], pa.int64()), pa.array([dump(question)], pa.binary())], ["shard", "chunk", "blob"])
-
-    def answered(group: pa.Table) -> pa.Table:
-        shard = group.column("shard")[0].as_py()
-        order = np.argsort(group.column("chunk").to_numpy(), kind="stable").tolist()
-        found = answer([(group.column("chunk")[k].as_py(), load(group.column("blob")[k].as_py())) for k in order])
-        return pa.table([pa.array([shard] * len(found), pa.int32()), pa.array([c for c, _ in found], pa.int64()), pa.array([dump(x) for _, x in found], pa.binary())], ["shard", "chunk", "blob"])
-
-    kind = "shard int, chunk long, blob binary"
-    questions = over_chunks(store, asked, kind)
-    if shards:
-        questions = questions.repartition(shards, "shard")
-    answers = questions.groupBy("shard").applyInArrow(answered, kind)
-    slots = max(SLOTS, store.count() // PER_SLOT)
+        if not wide:
+            for shard, question in ask(chunk, packed):
+                yield _routed([shard], [chunk], [[(chunk, question)]])
+            return
+        for group, own in grouped(ask(chunk, packed), lambda shard: shard * groups // shards).items():
+            yield _routed([group], [chunk], [[(shard, chunk, question) for shard, question in own]])
+
+    def answered(key: tuple, group: pa.Table) -> pa.Table:
+        shard = key[0].as_py()
+        found = answer(sorted(_opened(group), key=lambda x: x[0]))
+        if not wide:
+            return pa.Table.from_batches([_routed([c for c, _ in found], [shard] * len(found), [[(shard, x)] for _, x in found])])
+        by = grouped(found, lambda chunk: chunk % slots * slot_groups // slots if chunk >= 0 else -1)
+        return pa.Table.from_batches([_routed([*by], [shard] * len(by), [[(chunk, shard, x) for chunk, x in own] for own in by.values()])])
+
+    questions = over_chunks(store, asked, ROUTED)
+    if wide:
+        questions = _dealt(questions, chunks, groups)
+    if tasks:
+        questions = questions.repartition(tasks, "to")
+    answers = questions.groupBy("to").applyInArrow(answered, ROUTED)
+    if wide:
+        answers = _dealt(answers, shards, slot_groups)
     path = f"{scratch_dir(spark)}/lumen-{label}-{uuid.uuid4().hex}-{slots}"
-    slotted = answers.withColumn("slot", F.pmod(F.col("chunk"), F.lit(slots))).repartition("slot").sortWithinPartitions("slot", "chunk")
-    slotted.write.option("compression", "zstd").option("parquet.block.size", str(1 << 18)).partitionBy("slot").parquet(path)
+    rows = answers.select(F.col("to").alias("chunk"), "blob").withColumn("slot", F.pmod(F.col("chunk"), F.lit(slots))).repartition("slot").sortWithinPartitions("slot", "chunk")
+    rows.write.option("compression", "zstd").option("parquet.block.size", str(1 << 18)).partitionBy("slot").parquet(path)
     return path
 
 
@@ -126,9 +181,9 @@ def answers_of(path: str, chunk: int) -> list:
                 for k in range(file.num_row_groups):
                     span = file.metadata.row_group(k).column(at).statistics
                     if span is None or not span.has_min_max or span.min <= chunk <= span.max:
-                        t = file.read_row_group(k, columns=["shard", "chunk", "blob"])
+                        t = file.read_row_group(k, columns=["chunk", "blob"])
                         t = t.filter(pc.equal(t.column("chunk"), chunk))
-                        found += zip(t.column("shard").to_pylist(), map(load, t.column("blob").to_pylist()))
+                        found += [x for blob in t.column("blob").to_pylist() for x in load(blob)]
     return sorted(found, key=lambda x: x[0])
 
 
@@ -140,7 +195,7 @@ def summed(spark: SparkSession, path: str, size: int) -> list[float]:
 
     def opened(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([list(load(x)) for x in batch.column("blob").to_pylist()], pa.list_(pa.float64()))], ["x"])
+            yield pa.RecordBatch.from_arrays([pa.array([list(x) for blob in batch.column("blob").to_pylist() for _, x in load(blob)], pa.list_(pa.float64()))], ["x"])
 
     said = spark.read.parquet(path).filter("chunk = -1").select("blob").mapInArrow(opened, "x array<double>")
     return list(said.agg(*[F.coalesce(F.sum(F.col("x")[k]), F.lit(0.0)).alias(f"x{k}") for k in range(size)]).first())

@@ -491,12 +491,12 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
 
     n = float(sum(r[0] for r in over_chunks(store, trained, "n long").groupBy().sum("n").collect() if r[0] is not None))
-    counts = exchange(store, _ask_counts(shards), _answer_counts, "lm-counts")
+    counts = exchange(store, _ask_counts(shards), _answer_counts, "lm-counts", shards)
     v = summed(spark, counts, 1)[0]
     seats = materialise(over_chunks(store, _seats(counts), STORE), "lm-seats", "zstd")
     states = [State(0)]
     for sweep in range(1, rounds + SWEEPS + 1):
-        path = exchange(seats, _ask_tables(shards, n, v, states[-1]), _answer_tables(v, states[-1]), "lm-tables")
+        path = exchange(seats, _ask_tables(shards, n, v, states[-1]), _answer_tables(v, states[-1]), "lm-tables", shards)
         states.append(State(sweep, path, *summed(spark, path, 4)))
         if 1 < sweep <= rounds:  # nothing reads the burn-in's tables but the next sweep
             discard_path(spark, states[sweep - 1].path)

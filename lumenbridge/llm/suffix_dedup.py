@@ -464,10 +464,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     store = chunk_store(docs, id_col, text_col, _pack, "suffix-chunks")
     shards = shards_for(store, PER_SHARD)
 
-    first = exchange(store, _ask_contexts(shards), _judge, "suffix-anchors", shards)
-    second = exchange(store, _ask_texts(first, shards), _compare, "suffix-texts", shards)
+    first = exchange(store, _ask_contexts(shards), _judge, "suffix-anchors", shards, shards)
+    second = exchange(store, _ask_texts(first, shards), _compare, "suffix-texts", shards, shards)
     any_hot = summed(docs.sparkSession, first, 1)[0]
-    third = exchange(store, _ask_windows(first, second, shards), _sort_windows, "suffix-windows", shards) if any_hot else None
+    third = exchange(store, _ask_windows(first, second, shards), _sort_windows, "suffix-windows", shards, shards) if any_hot else None
     discard_path(docs.sparkSession, first)
     return over_chunks(store, _finish(second, third), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 

@@ -138,8 +138,9 @@ def brute_removed(texts, length=200):
     return out
 
 
-@pytest.mark.parametrize("chunk, batch, hot", [(6_000_000, 1_000_000, 3000), (2_000, 500, 3000), (3_000, 400, 1)])
-def test_suffix_dedup(docs, rows, chunk, batch, hot, monkeypatch):
+@pytest.mark.parametrize("chunk, batch, hot, fan", [(6_000_000, 1_000_000, 3000, 1000), (2_000, 500, 3000, 1), (3_000, 400, 1, 1000), (3_000, 400, 1, 1)])
+def test_suffix_dedup(docs, rows, chunk, batch, hot, fan, monkeypatch):
+    monkeypatch.setattr(exchange, "FAN", fan)
     monkeypatch.setattr(suffix_dedup, "BATCH", batch)
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
     monkeypatch.setattr(suffix_dedup, "PER_SHARD", 20_000)

@@ -71,8 +71,8 @@ def test_sweeps_of_a_restaurant_reach_its_joint_law():
 def test_each_sweep_starts_from_the_last_and_draws_anew(docs, monkeypatch):
     seen, own = [], lm_scoring.exchange
 
-    def spy(store, ask, answer, label, **more):
-        path = own(store, ask, answer, label, **more)
+    def spy(store, ask, answer, label, shards):
+        path = own(store, ask, answer, label, shards)
         if label == "lm-tables":
             seen.append(tuple(lm_scoring.summed(store.sparkSession, path, 3)))
         return path

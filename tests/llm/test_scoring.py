@@ -70,8 +70,9 @@ def brute_base(rows):
     return [(r[0], o, len(t), sum(c[w] > 0 for w in t), n, round(sum(math.log10((c.get(w, 0) + 1) / (n + v + 1)) for w in t), 6)) for r, t, o in zip(rows, toks, out)]
 
 
-@pytest.mark.parametrize("chunk", [6_000_000, 1500])
-def test_lm_counts_and_normalisation(docs, rows, chunk, monkeypatch):
+@pytest.mark.parametrize("chunk, fan", [(6_000_000, 1000), (1500, 1000), (1500, 1)])
+def test_lm_counts_and_scores_however_chunks_are_cut(docs, rows, chunk, fan, monkeypatch):
+    monkeypatch.setattr(exchange, "FAN", fan)
     monkeypatch.setattr(lm_scoring, "PER_SHARD", 2_000)
     monkeypatch.setattr(lm_scoring, "chunk_store", lambda *a, target: exchange.chunk_store(*a, target=chunk))
     got = lm_scoring.score_texts(docs).collect()
@@ -79,9 +80,9 @@ def test_lm_counts_and_normalisation(docs, rows, chunk, monkeypatch):
     assert all(r.score < 0 for r in got) and sum(r.score for r in got) > sum(r.base_score for r in got)
     scores = Counter((r.doc_id, round(r.score, 6)) for r in got)
     if chunk > 10_000:
-        test_lm_counts_and_normalisation.first = scores
+        test_lm_counts_and_scores_however_chunks_are_cut.first = scores
     else:  # how documents are packed changes no score
-        assert scores == test_lm_counts_and_normalisation.first
+        assert scores == test_lm_counts_and_scores_however_chunks_are_cut.first
 
 
 def test_seating_bounds_and_growth():
