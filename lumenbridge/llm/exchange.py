@@ -156,7 +156,7 @@ def exchange(store: DataFrame, ask: Callable[[int, object], Iterator[tuple[int,
     if wide:
         questions = _dealt(questions, chunks, groups)
     if tasks:
-        questions = questions.repartition(tasks, "to")
+        questions = questions.withColumn("to", F.col("to").cast("int")).repartitionById(tasks, F.col("to"))  # a hash would put some shards together
     answers = questions.groupBy("to").applyInArrow(answered, ROUTED)
     if wide:
         answers = _dealt(answers, shards, slot_groups)
