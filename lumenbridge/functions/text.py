@@ -7,7 +7,7 @@ import json
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..schemas import TRIPLE
+from ..schemas import PAYLOAD, TRIPLE, USAGE
 
 
 def tokens(text: Column) -> Column:
@@ -72,6 +72,17 @@ def parse_relations(text: Column) -> tuple[Column, Column]:
     return F.coalesce(kept, F.array().cast(f"array<{TRIPLE.simpleString()}>")), found.isNotNull()
 
 
+def payload_view(payload: Column) -> Column:
+    """A stored payload as a struct: whole triples only, token counts 0 and ``parse_ok`` true where they are missing."""
+    p = F.from_json(payload, PAYLOAD)
+    some = lambda c: F.coalesce(c, F.lit("")) != ""
+    whole = F.filter(p["relations"], lambda r: F.coalesce(some(r["subject"]) & some(r["predicate"]) & some(r["object"]), F.lit(False)))
+    usage = F.struct(*[F.coalesce(p["usage"][n], F.lit(0)).alias(n) for n in USAGE.names])
+    return F.struct(
+        p["prompt_version"].alias("prompt_version"), p["model"].alias("model"), F.coalesce(whole, F.array().cast(f"array<{TRIPLE.simpleString()}>")).alias("relations"),
+        usage.alias("usage"), F.coalesce(p["parse_ok"], F.lit(True)).alias("parse_ok"))
+
+
 def dedupe_forms(descriptor: Column, synonyms: Column) -> Column:
     """The descriptor first, then synonyms in order, trimmed, once each whatever their case."""
     forms = F.filter(F.transform(F.concat(F.array(descriptor), F.coalesce(synonyms, F.array().cast("array<string>"))), lambda f: F.trim(f)), lambda f: f.isNotNull() & (f != ""))

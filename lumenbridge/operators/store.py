@@ -30,33 +30,43 @@ def lookup(stored: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     return wanted.select(key).distinct().join(rows, key, "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
 
+def _fs(spark: SparkSession, path: str):
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    return make(path).getFileSystem(spark._jsc.hadoopConfiguration()), make
+
+
 def open_table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """The table at ``path``, empty if it isn't there yet."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
+    """The table at ``path``, empty if it isn't there yet; a replacement that is complete but not yet in place is read instead."""
+    fs, make = _fs(spark, path)
+    for place in (f"{path}.next", path):
+        if fs.exists(make(place)):
+            return spark.read.schema(schema).parquet(place)
+    return spark.createDataFrame([], schema)
 
 
 def append(df: DataFrame, path: str) -> None:
+    settle(df.sparkSession, path)
     df.write.mode("append").parquet(path)
 
 
+def settle(spark: SparkSession, path: str) -> None:
+    """Put a complete replacement in its place; a crash before the end leaves it to be found by readers and the next writer."""
+    fs, make = _fs(spark, path)
+    if fs.exists(make(f"{path}.next")):
+        fs.delete(make(path), True)
+        if not fs.rename(make(f"{path}.next"), make(path)):
+            raise OSError(f"{path} couldn't be replaced")
+
+
 def replace(df: DataFrame, path: str) -> None:
-    """Write beside ``path``, then swap: readers see the old or the new table, never half of one."""
-    spark = df.sparkSession
-    new, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
+    """Write beside ``path``, then swap. One rename, to ``path``.next, commits: ``open_table`` finds the old table before it and the new one after it, never none."""
+    spark, new = df.sparkSession, f"{path}.new-{uuid.uuid4().hex}"
     df.write.parquet(new)
-    make = spark._jvm.org.apache.hadoop.fs.Path
-    fs = make(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    had = fs.exists(make(path))
-    if had:
-        fs.rename(make(path), make(old))
-    if not fs.rename(make(new), make(path)):
-        if had:
-            fs.rename(make(old), make(path))
+    settle(spark, path)  # what an earlier run has left
+    fs, make = _fs(spark, path)
+    if not fs.rename(make(new), make(f"{path}.next")):
         raise OSError(f"{path} couldn't be replaced")
-    if had:
-        fs.delete(make(old), True)
+    settle(spark, path)
 
 
 def upsert(spark: SparkSession, path: str, batch: DataFrame, schema: StructType, keys: list[str], order: list) -> None:

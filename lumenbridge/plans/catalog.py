@@ -256,6 +256,11 @@ def supported_descriptors(s, d):
     return own.join(heard, "pmid").select("pmid", F.array_join(T.supported(F.col("terms"), F.col("mentions")), "|").alias("supported"))
 
 
+def payload_usage(s, d):
+    rows = B.table(s, d, "part").select("p_partkey", F.expr(B.PAYLOADS).alias("payload")).select("p_partkey", T.payload_view(F.col("payload")).alias("v"))
+    return rows.select("p_partkey", "v.model", F.size("v.relations").alias("n_relations"), F.col("v.usage.prompt_tokens").alias("prompt_tokens"), F.col("v.usage.output_tokens").alias("output_tokens"), F.col("v.usage.total_tokens").alias("total_tokens"), F.col("v.parse_ok").alias("parse_ok"))
+
+
 def point_lookup(s, d):
     """Papers asked for by id, and whether the store has them, in one join."""
     wanted = B.table(s, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("pmid")).distinct()
@@ -322,6 +327,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "article_terms": article_terms,
     "supported_descriptors": supported_descriptors,
     "point_lookup": point_lookup,
+    "payload_usage": payload_usage,
     "node_counts": lambda s, d: inc_.node_counts(B.papers(s, d), _stats(s, d), discovery.closed_scores(_stats(s, d), _total(s, d), RANKING)),
     "grounded_slices": lambda s, d: _closed(s, d, _grounded_inc).select("split", "term", "a_pre", "c_pre", "a_post", "c_post", "ga_pre", "gc_pre"),
     "grounded_precision": _grounded_metrics,

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions.text import INSTRUCTIONS, PROMPT_VERSION
-from ..sources.benchdata import ANSWER, OPEN_RANKING, RAW_ARTICLE, STUDY
+from ..sources.benchdata import ANSWER, OPEN_RANKING, PAYLOADS, RAW_ARTICLE, STUDY
 from .catalog import BUDGET, CAP, FLAT, SAMPLE, TOP
 
 R = STUDY.ranking
@@ -212,6 +212,9 @@ def oracle_sql() -> dict[str, str]:
         "article_terms": f"""WITH raw AS (SELECT {RAW_ARTICLE} AS j FROM orders), c AS (SELECT json_extract(j, '$.MedlineCitation') AS c FROM raw)
  SELECT DISTINCT c->>'PMID' AS pmid, term FROM (SELECT c, unnest(json_extract_string(c, '$.MeshHeadingList[*].DescriptorName')) AS term FROM c WHERE json_extract(c, '$.Article') IS NOT NULL) WHERE term <> ''""",
         "supported_descriptors": w + SUPPORT + """ SELECT pmid, coalesce(string_agg(term, '|' ORDER BY term) FILTER (grounded), '') AS supported FROM support WHERE pmid IN (SELECT pmid FROM said) GROUP BY pmid""",
+        "payload_usage": f"""WITH j AS (SELECT p_partkey, ({PAYLOADS})::JSON AS j FROM part)
+ SELECT p_partkey, j->>'model' AS model, (CASE WHEN j->>'$.relations[0].object' <> '' THEN 1 ELSE 0 END)::BIGINT AS n_relations, coalesce((j->>'$.usage.prompt_tokens')::BIGINT, 0) AS prompt_tokens,
+  coalesce((j->>'$.usage.output_tokens')::BIGINT, 0) AS output_tokens, coalesce((j->>'$.usage.total_tokens')::BIGINT, 0) AS total_tokens, coalesce((j->>'parse_ok')::BOOLEAN, true)::BIGINT AS parse_ok FROM j""",
         "point_lookup": w + PAPERS + " SELECT w.pmid, pub_date, yr::BIGINT AS pub_year, (p.pmid IS NOT NULL)::BIGINT AS found FROM (SELECT DISTINCT l_orderkey::VARCHAR AS pmid FROM lineitem) w LEFT JOIN (SELECT * FROM p WHERE yr <= 1998) p ON w.pmid = p.pmid",
         "open_slices": w + OSLICES + " SELECT split, term, present, present_pre::BIGINT AS present_pre, hit_count::BIGINT AS absent_post, grounded_pre::BIGINT AS grounded_pre FROM cand",
         "hit_sweep_open": w + OSCORED + " " + SHOW_SWEEP,

@@ -17,7 +17,7 @@ SYNONYMS = _struct(descriptor=_s, forms=ArrayType(_s), fetched_at=_t)
 RESPONSES = _struct(cache_key=_s, endpoint=_s, params=_s, response=_s, fetched_at=_t)
 RUNS = _struct(run_id=_s, started_at=_t, code_version=_s, config=_s, split=_s, max_date=_s)
 TRIPLE = _struct(subject=_s, predicate=_s, object=_s, evidence=_s)
-USAGE = _struct(input_tokens=_l, output_tokens=_l)
+USAGE = _struct(prompt_tokens=_l, output_tokens=_l, total_tokens=_l)
 PAYLOAD = _struct(prompt_version=_s, model=_s, relations=ArrayType(TRIPLE), usage=USAGE, parse_ok=_b)
 EXTRACTIONS = _struct(pmid=_s, model=_s, prompt_hash=_s, payload=_s, created_at=_t)
 RELATIONS = _struct(pmid=_s, relations=ArrayType(TRIPLE))

@@ -49,6 +49,12 @@ CASE p_partkey % 7
     CASE p_partkey % 7 WHEN 0 THEN concat(chr(10), '```') WHEN 4 THEN '```' ELSE '' END) END
 """
 
+#: A part's stored payload: with token counts, with none, with an incomplete triple.
+PAYLOADS = """
+concat('{"model":"m","relations":[{"subject":"', p_name, '","predicate":"is","object":"', CASE WHEN p_partkey % 4 = 0 THEN '' ELSE p_type END, '"}]',
+  CASE p_partkey % 3 WHEN 0 THEN concat(',"usage":{"prompt_tokens":', CAST(p_size AS VARCHAR(9)), ',"output_tokens":7},"parse_ok":false') WHEN 1 THEN ',"usage":null' ELSE ',"parse_ok":true' END, '}')
+"""
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

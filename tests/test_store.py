@@ -1,3 +1,5 @@
+import os
+
 from pyspark.sql import functions as F
 
 from lumenbridge import schemas
@@ -42,3 +44,18 @@ def test_stream_takes_each_file_once(spark, tmp_path):
         rows.coalesce(1).write.mode("append").parquet(source)
         stream_new_files(spark, source, target, schemas.PAPER_CORRIDOR, mark, ["pmid", "corridor"])
     assert sorted(map(tuple, spark.read.parquet(target).collect())) == [("1", "A"), ("2", "C")]
+
+
+def test_a_stopped_replacement_is_read_and_settled(spark, tmp_path, monkeypatch):
+    path, frame = str(tmp_path / "t"), lambda *x: spark.createDataFrame([(i, "A") for i in x], schemas.PAPER_CORRIDOR)
+    store.replace(frame("1"), path)
+    with monkeypatch.context() as m:  # the run stops right after its commit
+        own, calls = store.settle, []
+        m.setattr(store, "settle", lambda s, p: own(s, p) if not calls.append(1) and len(calls) == 1 else None)
+        store.replace(frame("2", "3"), path)
+    read = lambda: sorted(r.pmid for r in store.open_table(spark, path, schemas.PAPER_CORRIDOR).collect())
+    assert read() == ["2", "3"] and os.path.isdir(f"{path}.next")
+    store.append(frame("4"), path)
+    assert read() == ["2", "3", "4"] and sorted(os.listdir(tmp_path)) == ["t"]
+    store.replace(frame("5"), path)
+    assert read() == ["5"]
