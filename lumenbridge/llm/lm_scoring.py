@@ -311,11 +311,11 @@ def _many_tables(n: np.ndarray, a: np.ndarray, discount: float, key: np.ndarray,
 
 
 @functools.cache
-def steps(discount: float) -> np.ndarray:
-    """Logarithms of S_d(n, t + 1) / S_d(n, t), by n and t."""
-    logs = stirling(discount)
+def steps(discount: float) -> tuple[np.ndarray, np.ndarray]:
+    """S_d(n, t + 1) / S_d(n, t) by n and t: logarithms, and the ratios themselves."""
     with np.errstate(invalid="ignore"):
-        return np.nan_to_num(np.diff(logs, axis=1), nan=-np.inf, neginf=-np.inf)
+        logs = np.nan_to_num(np.diff(stirling(discount), axis=1), nan=-np.inf, posinf=0.0, neginf=-np.inf)
+    return logs, np.exp(logs)
 
 
 def gibbs_tables(customers: np.ndarray, weight: np.ndarray, discount: float, key: np.ndarray, stream: int) -> np.ndarray:
@@ -330,7 +330,7 @@ def gibbs_tables(customers: np.ndarray, weight: np.ndarray, discount: float, key
     drawn[:two] += u[:two] * (a[:two] + 1 - discount) < a[:two]
     if many < len(c):
         drawn[many:] = _many_tables(c[many:].astype(float), a[many:], discount, k[many:], stream)
-    logs, log_a = steps(discount), np.log(a)
+    (logs, ratios), log_a = steps(discount), np.log(a)
     for i in range(two, many, ROWS):
         rows = slice(i, min(many, i + ROWS))
         # odds fall off faster for fewer customers and smaller weights, so beyond `last` no row has odds that a double adds to its sum
@@ -338,10 +338,17 @@ def gibbs_tables(customers: np.ndarray, weight: np.ndarray, discount: float, key
         reach = np.concatenate(([0.0], np.cumsum(logs[n, 1:n] + top)))
         last = int(np.flatnonzero(reach > reach.max() - 45)[-1]) + 1
         odds = np.zeros((rows.stop - i, last))
-        np.cumsum(logs[c[rows], 1:last] + log_a[rows, None], axis=1, out=odds[:, 1:])
-        odds -= odds.max(axis=1, keepdims=True)
-        cdf = np.cumsum(np.exp(odds, out=odds), axis=1, out=odds)
-        drawn[rows] += (cdf < u[rows, None] * cdf[:, -1:]).sum(axis=1)
+        if reach.max() < 600:  # products stay within a double's range; those that fall out below count for nothing
+            odds[:, 0] = 1
+            low = int(c[i])
+            each = np.ascontiguousarray(ratios[low: n + 1, 1:last]).take(c[rows] - low, axis=0)
+            each *= a[rows, None]
+            np.cumprod(each, axis=1, out=odds[:, 1:])
+        else:
+            np.cumsum(logs[c[rows], 1:last] + log_a[rows, None], axis=1, out=odds[:, 1:])
+            np.exp(odds - odds.max(axis=1, keepdims=True), out=odds)
+        cdf = np.cumsum(odds, axis=1, out=odds)
+        drawn[rows] += np.count_nonzero(cdf < u[rows, None] * cdf[:, -1:], axis=1)
     tables[by] = drawn
     return tables
 
