@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import materialise, shuffle_partitions, table
 
 #: Sampled texts to a shuffle partition, and the most splitters.
-PER_PARTITION, MAX_SPLITTERS = 8, 50_000
+PER_PARTITION, MAX_SPLITTERS = 16, 50_000
 #: Lengths at which a splitter ends if no other sampled text begins so, and at the latest if it was sampled once.
 CUTS, LAST = (64, 1024), 16_384
 #: Seed of the sample.
@@ -80,14 +80,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     last = F.col("at") - 1
     hot = F.when((F.get(times, last) > 1) & (F.get(texts, last) == F.col("norm")), F.get(times, last))
     part = F.coalesce(F.get(upto, last), F.lit(0)) - F.coalesce(F.pmod(F.xxhash64("place"), hot), F.lit(0))
-    rows = rows.select("doc_id", "norm", part.alias("part"), F.when(hot.isNotNull(), F.col("at")).alias("hot"))
+    slot = F.floor(part * n / (cuts[-1][1] + 1 if cuts else 1)).cast("int")  # as many ranges to each partition
+    rows = rows.select("doc_id", "norm", slot.alias("part"), F.when(hot.isNotNull(), F.col("at")).alias("hot"))
     equal = Window.partitionBy("part", "norm").orderBy(F.asc_nulls_last("doc_id"))
     whole = equal.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    found = rows.repartition(n, "part").select(
+    found = rows.repartitionById(n, F.col("part")).select(
         "doc_id", "part", "hot", F.sha2(F.encode("norm", "UTF-8"), 256).alias("sha"),
         F.row_number().over(equal).alias("nth"), F.first("doc_id").over(whole).alias("low"), F.count(F.lit(1)).over(whole).alias("n"))
     found = materialise(found, "exact-groups")
-    # of a text dealt over several ranges: all its rows, its smallest id, and the first range that has it; a row for each such text
+    # of a text dealt over several partitions: all its rows, its smallest id, and the first partition that has it; a row for each such text
     first = F.min(F.struct(F.col("low").isNull(), "low", "part"))
     over = found.filter(F.col("hot").isNotNull() & (F.col("nth") == 1)).groupBy("hot").agg(F.sum("n").alias("all_n"), first.alias("of"))
     over = over.select(F.col("hot").alias("key"), "all_n", F.col("of.low").alias("all_low"), F.col("of.part").alias("of_part"))
