@@ -98,7 +98,7 @@ def _pack(ids, texts):
     words = found.filter(some).dictionary_encode()
     counts = np.diff(upto[offsets - offsets[0]])
     lengths = counts + 1
-    distinct = words.dictionary.view(pa.binary()).to_pylist()
+    distinct = _slices(words.dictionary)
     tokens = np.full(int(lengths.sum()), len(distinct), dtype=np.int64)
     body = np.ones(len(tokens), dtype=bool)
     body[np.cumsum(lengths) - 1] = False
@@ -110,6 +110,14 @@ def _pack(ids, texts):
     return len(tokens), ([*ids], lengths, pack_ints(new[tokens]), hashes[by])
 
 
+def _slices(strings: pa.Array) -> list[bytes]:
+    """The strings' bytes, cut out of their buffer."""
+    _, offsets, data = strings.buffers()
+    ends = np.frombuffer(offsets, dtype=np.int32)[strings.offset: strings.offset + len(strings) + 1].tolist() if len(strings) else [0]
+    data = data.to_pybytes() if data else b""
+    return [data[i:j] for i, j in zip(ends, ends[1:])]
+
+
 def sorted_places(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Non-negative codes in order, and their places; both in one integer where they fit, as that sorts faster."""
     bits = len(codes).bit_length()
@@ -141,7 +149,7 @@ class Chunk:
         new = np.concatenate(([True], codes[1:] != codes[:-1]))
         self.bigram = np.empty_like(places)
         self.bigram[places] = np.cumsum(new) - 1
-        self.u, self.w = np.divmod(codes[new], self.n + 1)
+        self.u, self.w = (x.astype(np.int32 if self.n < 1 << 31 else np.int64) for x in np.divmod(codes[new], self.n + 1))
         self.key = keys_of(self.words, self.u, self.w)
 
     @functools.cached_property
@@ -372,8 +380,8 @@ class Words:
         self.context = np.append(count, float(count[np.searchsorted(words, END)]))  # each document has one start and one end
         self.base = (count + 1) / (n + v + 1)
 
-    def parent(self, state: State):
-        """After a sweep: tables of each context, the parent's probability of each word, and the weights that the next sweep draws for both."""
+    def parent(self, state: State, last: bool = False):
+        """After a sweep: tables of each context, the parent's probability of each word, and the weights that the next sweep (if it isn't the ``last``) draws for both."""
         if state.path is None:  # estimates, before any customer sits
             tables = self.context ** DISCOUNT
             return tables, self.base, STRENGTH + DISCOUNT * tables, self.base
@@ -383,6 +391,8 @@ class Words:
         g = np.where(self.count > 0, (1 - UNKNOWN) / max(1.0, self.v), UNKNOWN if self.v else 1.0)
         free = ROOT_STRENGTH + ROOT_DISCOUNT * state.own
         p = (customers - ROOT_DISCOUNT * own + free * g) / (ROOT_STRENGTH + state.customers)
+        if last:
+            return tables, p, None, None
         drawn = DISCOUNT * _gamma(STRENGTH / DISCOUNT + tables, np.append(self.words, START), CONTEXT_STREAM + state.sweep)
         rest = _gamma(np.array([free]), ROOT, WORD_STREAM + state.sweep)[0]
         q = (_gamma(customers - ROOT_DISCOUNT * own, self.words, WORD_STREAM + state.sweep) + rest * g) / (state.gammas + rest)
@@ -458,13 +468,15 @@ def _answer_tables(v: float, last: State):
 def predictive(m: Words, u: np.ndarray, w: np.ndarray, pairs: np.ndarray, key: np.ndarray, states: list[State]) -> np.ndarray:
     """Probability of word ``w`` after word ``u``, averaged over the sweeps that led from each state to the next."""
     some = np.flatnonzero(pairs > 0)
-    prob, seated = np.zeros(len(pairs)), np.zeros(len(pairs))
+    own = u[some], w[some], pairs[some], key[some]
+    prob, seated, share = np.zeros(len(pairs)), np.zeros(len(pairs)), 1 / (STRENGTH + m.context)
     before = m.parent(states[0])
     for last, state in zip(states, states[1:]):
-        seated[some] = tables_of(last, *before[2:], u[some], w[some], pairs[some], key[some])
-        tables, p, *_ = before = m.parent(state)
-        one = (pairs - DISCOUNT * seated + (STRENGTH + DISCOUNT * tables[u]) * p[w]) / (STRENGTH + m.context[u])
-        prob += np.where(m.context[u] > 0, one, p[w]) / (len(states) - 1)
+        seated[some] = tables_of(last, *before[2:], *own)
+        tables, p, *_ = before = m.parent(state, state is states[-1])
+        rest = np.where(m.context > 0, (STRENGTH + DISCOUNT * tables) * share, 1.0)  # of the parent's probability; a context that has no customers gives it whole
+        prob += (pairs - DISCOUNT * seated) * share[u] + rest[u] * p[w]
+    prob /= len(states) - 1
     return prob
 
 
