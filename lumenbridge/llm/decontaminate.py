@@ -22,8 +22,6 @@ whatever their names; an empty benchmark leaves every document clean.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession

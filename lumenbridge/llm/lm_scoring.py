@@ -31,9 +31,9 @@ what the sweeps need of these is kept in a table of its own, so only the first
 and the last pass read whole chunks.
 
 Defined cases: a null or empty text is one end token; repeated rows count, and
-score, once each; null ids hash as an empty text; without training documents
-every token has probability one; an empty table gives no rows; other columns
-are ignored.
+score, once each; null ids hash as an empty text; a very long text is a chunk
+of its own; without training documents every token has probability one; an
+empty table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
