@@ -48,6 +48,7 @@ import types
 import unicodedata
 import uuid
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -64,7 +65,9 @@ END_ID, LIMIT, EVERY = 2, 20, 128
 #: Ids to a block and to a part; the most parts; sampled rows to a part.
 BLOCK_IDS, RANGE_IDS, MAX_RANGES, PER_RANGE = 200_000, 4_000_000, 20_000, 50
 #: Bytes of a worker's table of pieces, and the longest piece in it.
-TABLE_BYTES, LONGEST = 72 << 20, 200
+TABLE_BYTES, LONGEST = 48 << 20, 200
+#: Bytes of text that are encoded at once, but for one longer text.
+AT_ONCE = 4 << 20
 #: Up to this many parts (16 bytes each) their table is broadcast to readers; beyond, it is joined by shuffle.
 BROADCAST_PARTS = 1_000_000
 VOCABULARY = "word_bpe_49k.json"
@@ -200,15 +203,22 @@ def encoder(path: str) -> Encoder:
     return home.by_path[path]
 
 
+def _cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about ``AT_ONCE`` bytes of text."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(), dtype=np.int64)
+    bounds = np.flatnonzero(np.diff(upto // AT_ONCE, prepend=0)).tolist()
+    for i, j in zip([0, *bounds], [*bounds, batch.num_rows]):
+        if j > i:
+            yield batch.slice(i, j - i)
+
+
 def _tokenise(path: str):
     """Each row's ids, a hash of them, a number of its own that spreads rows evenly, and, in a batch's first row, the batch's counts of ids."""
 
     def run(batches):
         encode = encoder(path).encode
         row = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (part for whole in batches for part in _cut(whole)):
             ids = encode(batch.column("text").to_pylist())
             wide = np.frombuffer(b"".join(ids), dtype="<u4")
             sizes = np.array([len(x) // 4 for x in ids], dtype=np.int64)
@@ -225,6 +235,8 @@ def _tokenise(path: str):
                 pa.array((ties >> np.uint64(1)).astype(np.int64)), pa.array((salts >> np.uint64(1)).astype(np.int64)),
                 pa.array([at.astype("<i8").tobytes() + counts[at].astype("<i8").tobytes(), *[None] * (len(ids) - 1)], pa.binary()),
             ], ["doc_id", "n_tokens", "ids", "tie", "salt", "counts"])
+            del ids, wide, narrow, blob
+            pa.default_memory_pool().release_unused()  # the worker's memory stays that of one part
 
     return run
 
