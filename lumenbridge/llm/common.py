@@ -32,7 +32,7 @@ def scratch_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def materialise(df: DataFrame, label: str, compression: str = "snappy", few_files: bool = False) -> DataFrame:
+def materialise(df: DataFrame, label: str, compression: str = "snappy", few_files: bool = False, options: dict[str, str] | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     This cuts lineage and survives lost executors: the table is durable, and
@@ -45,7 +45,7 @@ def materialise(df: DataFrame, label: str, compression: str = "snappy", few_file
     if few_files:
         df = df.coalesce(2 * spark.sparkContext.defaultParallelism)
     path = f"{scratch_dir(spark)}/lumen-{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
+    df.write.options(**(options or {})).option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.lumen_path = path
     return out

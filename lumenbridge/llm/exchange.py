@@ -40,6 +40,8 @@ CHUNK_BYTES = 6_000_000
 #: The answers are dealt to files sorted by chunk, of about so many chunks each but to SLOTS files at least.
 PER_SLOT, SLOTS = 16, 24
 STORE = "chunk long, size long, payload binary"
+#: Parquet looks at sizes after 100 rows only, and would keep all chunks of a task in one page.
+CHUNK_TO_GROUP = {"parquet.block.row.count.limit": "1"}
 #: The most shards that chunks send to, and hear from, directly.
 FAN = 1000
 
@@ -51,8 +53,13 @@ def dump(x) -> bytes:
 load = pickle.loads
 
 
-def chunk_store(docs: DataFrame, id_col: str, text_col: str, pack: Callable, label: str, target: int = CHUNK_BYTES) -> DataFrame:
-    """Table of chunks; ``pack(doc_ids, texts)`` gives (size, object) of one."""
+def chunk_store(docs: DataFrame, id_col: str, text_col: str, pack: Callable, label: str, target: int = CHUNK_BYTES, *, by_file: bool = False) -> DataFrame:
+    """Table of chunks; ``pack(doc_ids, texts)`` gives (size, object) of one.
+
+    With ``by_file``, each chunk is a row group of its own, and the table has
+    the names of the files in place of the payloads: Python workers open them
+    themselves, so that the JVM holds no chunk when they are read.
+    """
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("binary"), F.lit(b"")).alias("text"))
 
     def run(batches):
@@ -74,11 +81,29 @@ def chunk_store(docs: DataFrame, id_col: str, text_col: str, pack: Callable, lab
         if ids:
             yield chunk()
 
-    return materialise(rows.mapInArrow(run, STORE), label, "zstd")
+    if not by_file:
+        return materialise(rows.mapInArrow(run, STORE), label, "zstd")
+    table = materialise(rows.mapInArrow(run, STORE), label, "zstd", options=CHUNK_TO_GROUP)
+    store = table.select("chunk", "size", F.col("_metadata.file_name").alias("file"))
+    store.lumen_path = table.lumen_path
+    return store
 
 
 def over_chunks(store: DataFrame, work: Callable[[int, object], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``work(chunk, object)`` of every chunk."""
+    if "file" in store.columns:
+        path = store.lumen_path
+
+        def opened(batches):
+            import pyarrow.fs as fs
+
+            files, root = fs.FileSystem.from_uri(path)
+            for batch in batches:
+                for chunk, name in zip(batch.column("chunk").to_pylist(), batch.column("file").to_pylist()):
+                    for payload in _of_chunk(files, f"{root}/{name}", chunk, "payload"):
+                        yield from work(chunk, load(payload))
+
+        return store.select("chunk", "file").mapInArrow(opened, schema)
 
     def run(batches):
         for batch in batches:
@@ -166,24 +191,31 @@ def exchange(store: DataFrame, ask: Callable[[int, object], Iterator[tuple[int,
     return path
 
 
+def _of_chunk(files, path: str, chunk: int, column: str) -> list[bytes]:
+    """A chunk's values in a file: only the row groups that hold the chunk are read."""
+    import pyarrow.parquet as pq
+
+    found = []
+    with files.open_input_file(path) as f:
+        file = pq.ParquetFile(f)
+        at = file.schema_arrow.get_field_index("chunk")
+        for k in range(file.num_row_groups):
+            span = file.metadata.row_group(k).column(at).statistics
+            if span is None or not span.has_min_max or span.min <= chunk <= span.max:
+                t = file.read_row_group(k, columns=["chunk", column])
+                found += t.filter(pc.equal(t.column("chunk"), chunk)).column(column).to_pylist()
+    return found
+
+
 def answers_of(path: str, chunk: int) -> list:
-    """(shard, answer)s of a chunk, by shard: only the row groups that hold the chunk are read."""
+    """(shard, answer)s of a chunk, by shard."""
     import pyarrow.fs as fs
-    import pyarrow.parquet as pq
 
     store, root = fs.FileSystem.from_uri(path)
     found, slots = [], int(path.rpartition("-")[2])
     for info in store.get_file_info(fs.FileSelector(f"{root}/slot={chunk % slots}", allow_not_found=True)):
         if info.path.endswith(".parquet"):
-            with store.open_input_file(info.path) as f:
-                file = pq.ParquetFile(f)
-                at = file.schema_arrow.get_field_index("chunk")
-                for k in range(file.num_row_groups):
-                    span = file.metadata.row_group(k).column(at).statistics
-                    if span is None or not span.has_min_max or span.min <= chunk <= span.max:
-                        t = file.read_row_group(k, columns=["chunk", "blob"])
-                        t = t.filter(pc.equal(t.column("chunk"), chunk))
-                        found += [x for blob in t.column("blob").to_pylist() for x in load(blob)]
+            found += [x for blob in _of_chunk(store, info.path, chunk, "blob") for x in load(blob)]
     return sorted(found, key=lambda x: x[0])
 
 

@@ -461,7 +461,7 @@ def _finish(second: str, third: str | None):
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
-    store = chunk_store(docs, id_col, text_col, _pack, "suffix-chunks")
+    store = chunk_store(docs, id_col, text_col, _pack, "suffix-chunks", by_file=True)
     shards = shards_for(store, PER_SHARD)
 
     first = exchange(store, _ask_contexts(shards), _judge, "suffix-anchors", shards, shards)

@@ -151,6 +151,24 @@ def test_suffix_dedup(docs, rows, chunk, batch, hot, fan, monkeypatch):
     same(suffix_dedup.dedup(docs).collect(), want)
 
 
+def test_suffix_chunks_pass_the_jvm_one_by_one(spark, monkeypatch):
+    """A task's chunks are row groups of their own, and passes over them bring the JVM no payload."""
+    import pyarrow.parquet as pq
+
+    made = []
+    monkeypatch.setattr(suffix_dedup.chunk_store, "__defaults__", (2_000,))
+    monkeypatch.setattr(suffix_dedup, "chunk_store", lambda *a, f=suffix_dedup.chunk_store, **b: made.append(f(*a, **b)) or made[0])
+    texts = [f"{i} " * 300 for i in range(40)]
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").coalesce(1)
+    same(suffix_dedup.dedup(df).collect(), [(i, *x) for i, x in enumerate(brute_removed([t.encode() for t in texts]))])
+    groups = []
+    for path in made[0].inputFiles():
+        with pq.ParquetFile(path.removeprefix("file://")) as file:
+            groups += [file.metadata.row_group(k).num_rows for k in range(file.num_row_groups)]
+    assert len(groups) >= 10 and set(groups) == {1}
+    assert "payload" not in made[0].columns
+
+
 def test_suffix_empty(none):
     assert suffix_dedup.dedup(none).count() == 0
 
